@@ -1,0 +1,94 @@
+"""Vectorised rolling hashes over byte buffers.
+
+A window's hash is a polynomial over random 64-bit codes of its bytes, modulo
+2**64, taken from prefix sums; it doesn't depend on where the window starts.
+Two families with their own codes and bases give 128 bits when both are used.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_M = (1 << 64) - 1
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _splitmix(x: int) -> int:
+    x = (x + 0x9E3779B97F4A7C15) & _M
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M
+    return x ^ (x >> 31)
+
+
+_CODES = [np.array([_splitmix(1000 * f + b) for b in range(256)], np.uint64) for f in (1, 2)]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads a 64-bit value over all of its bits (one to one)."""
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _table(family: int, inverse: bool, n: int) -> np.ndarray:
+    have = _powers.get((family, inverse))
+    if have is None or len(have) < n:
+        base = _BASES[family]
+        base = pow(base, -1, 1 << 64) if inverse else base
+        size = max(n, 1 << 16)
+        have = np.empty(size, np.uint64)
+        have[0] = 1
+        k, step = 1, base
+        while k < size:
+            m = min(k, size - k)
+            have[k : k + m] = have[:m] * np.uint64(step)
+            k, step = k + m, step * step & _M
+        if size <= 1 << 24:
+            _powers[family, inverse] = have
+    return have
+
+
+class Rolling:
+    """Prefix sums over one buffer; ``of(starts, ends)`` hashes byte ranges."""
+
+    def __init__(self, buf: np.ndarray, family: int = 0) -> None:
+        n = len(buf)
+        self.family = family
+        self.n = n
+        self.sums = np.zeros(n + 1, np.uint64)
+        terms = _CODES[family][buf]
+        terms *= _table(family, False, n + 1)[:n]
+        np.cumsum(terms, out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = self.sums[ends] - self.sums[starts]
+        h *= _table(self.family, True, self.n + 1)[starts]
+        return mix(h)
+
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of one width, by their start."""
+        m = self.n - width + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        h = self.sums[width:] - self.sums[:m]
+        h *= _table(self.family, True, self.n + 1)[:m]
+        return mix(h)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of x[i : i + width] for every i that has a full window."""
+    n = len(x)
+    if n < width:
+        return x[:0]
+    rows = -(-n // width)
+    padded = np.full(rows * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[:n] = x
+    grid = padded.reshape(rows, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    m = n - width + 1
+    return np.minimum(behind[:m], ahead[width - 1 : width - 1 + m])
