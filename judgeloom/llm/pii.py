@@ -139,7 +139,8 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, by kind in the order given, then start."""
-    parts = [F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]
+    named = lambda k: lambda s: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))
+    parts = [F.transform(F.col(k), named(k)) for k in kinds]
     return F.array_join(F.concat(*parts), ",")
 
 
@@ -147,7 +148,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """(doc_id, clean_text) of the documents with spans: base spans generalised
     to ``[kind]``, disclosing terms removed."""
     found = find_personal_data(docs, id_col=id_col, text_col=text_col, **options).where("text is not null")
-    tagged = F.concat(*[F.transform(F.col(k), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]" if k != "term" else "").alias("by"))) for k in (*KINDS, "term")])
+    by = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]" if k != "term" else "").alias("by"))
+    tagged = F.concat(*[F.transform(F.col(k), by(k)) for k in (*KINDS, "term")])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
