@@ -116,16 +116,14 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
     if pairs.isEmpty():
         return based.withColumn("term", F.array().cast("array<struct<start: int, end: int, match: string>>"))
 
-    # 65,536 flags in one row, whatever the number of terms
-    bits = pairs.select(_bit(F.col("word")).alias("bit")).distinct().agg(F.collect_set("bit").alias("set"))
-    flags = bits.select(F.transform(F.sequence(F.lit(0), F.lit(MAP_BITS - 1)), lambda i: F.lit(False)).alias("flags"), "set").first()["set"]
-    known = bytearray(MAP_BITS // 8)
+    # 65,536 flags in one literal, whatever the number of terms
+    flags = pairs.select(_bit(F.col("word")).alias("bit")).distinct().agg(F.collect_set("bit").alias("set")).first()["set"]
+    known = [0] * (MAP_BITS // 32)
     for b in flags:
-        known[b >> 3] |= 1 << (b & 7)
-    chars = F.lit(bytes(known).hex())
-    word = F.col("word")
-    let_through = F.getbit(F.conv(F.substring(chars, (F.shiftright(_bit(word), 3) * 2 + 1), F.lit(2)), 16, 10).cast("int"), _bit(word).bitwiseAND(7)) == 1
-    words = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("word")).where(let_through)
+        known[b >> 5] |= 1 << (b & 31)
+    word, bit = F.col("word"), _bit(F.col("word"))
+    let_through = F.getbit(F.element_at(F.array(*(F.lit(k).cast("long") for k in known)), F.shiftright(bit, 5) + 1), bit.bitwiseAND(31)) == 1
+    words = rows.select("row", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("word")).where(let_through).distinct()
     of_word = words.groupBy("word").agg(F.count("*").alias("c_word"))
     n = rows.count()
     npmi = F.log2(F.lit(float(n)) * F.col("c_both") / (F.col("c_word") * F.col("c_entity"))) / F.log2(F.lit(float(n)) / F.col("c_entity"))
