@@ -12,10 +12,11 @@ Before that, documents that can't have a partner leave, by exact bounds:
    k of their first ``size - O + k`` tokens; with k a quarter of the size that
    is half of a set.  A keyed exchange tells which of those tokens any other
    document has.  Documents that share too few of them have no partner.
-3. Among those tokens, rare ones first, the same bound leaves a shorter prefix;
-   partners share a token there.  The smallest document of any such token is a
-   document's *centre*; documents of one centre make a block, large blocks are
-   split by hash.
+3. Of the sets that are left, a second exchange counts all tokens: a set less than
+   three quarters of whose tokens are in other sets has no partner either.  With
+   rare tokens first, partners share one of a set's first quarter.  The
+   smallest document of any such token is a document's *centre*; documents of
+   one centre make a block, large blocks are split by hash.
 
 Within a block the matrix joins all documents.  A block's leaders (one document
 of each linked group) are then joined per centre, so that groups split over
@@ -27,8 +28,8 @@ every pair that reaches the threshold is either found or already connected.
 
 Results for odd inputs: null, empty or blank texts have no shingles and are
 linked with nothing; a text of fewer words than a shingle is one shingle; rows
-of one text, repeated ids included, have one class; a null id is left out of
-the links and gets itself (null) as its component; an empty table gives an
+of one text, repeated ids included, have one class; a null id sorts
+after all others: it is in its class, or else its own component (null); an empty table gives an
 empty table; other columns are ignored.
 """
 
@@ -51,8 +52,6 @@ TOKENS, CLASSES = 0, 1
 BLOCK_DOCS, BLOCK_TOKENS = 256, 400_000
 QUERIES = 512
 
-_SETS = "doc_id long, size long, rep_id long, tokens binary, keys array<long>"
-
 
 class Threshold:
     """Integer bounds for |x & y| / |x | y| >= share."""
@@ -151,10 +150,10 @@ def _class_ids(pack: P.Pack, n_buckets: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Checkpointed (doc_id, size, rep_id, tokens, keys): rep_id is the smallest
-    id with the same set; tokens and keys (the prefix tokens that partners
-    share) are there only for representatives that may have partners."""
+def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Checkpointed (doc_id, size, rep_id) of all documents, rep_id the smallest
+    id with the same set; and (doc_id, size, tokens, keys) of representatives
+    that may have partners."""
     packs = P.pack(docs, P.lower_words_text, id_col, text_col)
     n_buckets = P.bucket_count(packs)
 
@@ -165,6 +164,8 @@ def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_co
             yield P.request_batch([*P.requests(pack.pack_id, TOKENS, n_buckets, sets.prefix(t)[0]), *P.requests(pack.pack_id, CLASSES, n_buckets, a, b, low)])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and one with the sets that go on, as a pack
+        whose texts are tokens of eight bytes."""
         for pack in P.opened(batches):
             sets = _Sets(pack, width)
             a, _, _, place, with_set = sets.digests(pack.ids)
@@ -174,28 +175,56 @@ def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_co
             keys, where, at = sets.prefix(t)
             times = P.replied(pack, TOKENS, n_buckets, keys)[where] if len(at) else np.zeros(0, np.uint8)
             shared = np.bincount(sets.doc[at], weights=times > 1, minlength=len(pack.ids))
-            goes_on = (rep == pack.ids) & (pack.ids != P.NULL_ID) & (sets.size > 0) & (shared >= t.needed(sets.size))
-            # rare tokens first; ties by hash
-            order = np.lexsort((sets.hashes[at], times, sets.doc[at]))
-            doc, times, h = sets.doc[at][order], times[order], sets.hashes[at][order]
-            n = np.bincount(doc, minlength=len(pack.ids)).astype(np.int64)
-            begin = np.cumsum(n) - n
-            rank = np.arange(len(doc)) - begin[doc] if len(doc) else np.zeros(0, np.int64)
-            short = n - t.needed(sets.size) + 1
-            use = (rank < short[doc]) & (times > 1) if len(doc) else np.zeros(0, bool)
-            tokens: list = [None] * len(pack.ids)
-            key_lists: list = [None] * len(pack.ids)
-            for i in np.flatnonzero(goes_on).tolist():
-                tokens[i] = sets.hashes[sets.first[i] : sets.first[i] + sets.size[i]].tobytes()
-                s = slice(begin[i], begin[i] + n[i])
-                key_lists[i] = h[s][use[s]].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [P.ids_out(pack.ids), pa.array(sets.size), P.ids_out(rep), pa.array(tokens, pa.binary()), pa.array(key_lists, pa.list_(pa.int64()))],
-                names=["doc_id", "size", "rep_id", "tokens", "keys"],
-            )
+            goes_on = np.flatnonzero((rep == pack.ids) & (pack.ids != P.NULL_ID) & (sets.size > 0) & (shared >= t.needed(sets.size)))
+            n = len(pack.ids)
+            none = [None] * n
+            tokens = b"".join(sets.hashes[sets.first[i] : sets.first[i] + sets.size[i]].tobytes() for i in goes_on.tolist())
+            ids, sizes = pack.ids[goes_on], 8 * sets.size[goes_on]
+            columns = [
+                pa.concat_arrays([P.ids_out(pack.ids), pa.nulls(1, pa.int64())]), pa.concat_arrays([pa.array(sets.size), pa.nulls(1, pa.int64())]), pa.concat_arrays([P.ids_out(rep), pa.nulls(1, pa.int64())]),
+                pa.array([*none, pack.pack_id], pa.int64()), pa.array([*none, len(tokens)], pa.int64()), *(pa.array([*none, x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), P.squeeze(tokens)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rep_id", "pack_id", "n_bytes", "ids", "sizes", "text"])
+
+    replies = P.exchange(packs.mapInArrow(ask, P.REQUEST_SCHEMA), _answer)
+    mixed = P.checkpointed(P.with_replies(packs, replies).mapInArrow(survivors, f"doc_id long, size long, rep_id long, {P.PACK_SCHEMA}"))
+    every = mixed.where("pack_id is null").select("doc_id", "size", "rep_id")
+    left = mixed.where("pack_id is not null").select("pack_id", "n_bytes", "ids", "sizes", "text")
+    return every, _promising(left, t)
+
+
+def _promising(packs: DataFrame, t: Threshold) -> DataFrame:
+    """Checkpointed (doc_id, size, tokens, keys) of the sets enough of whose
+    tokens occur in other sets of the packs; keys are the shared ones among the
+    rarest tokens, at least one of which every partner has."""
+    n_buckets = P.bucket_count(packs)
+
+    def distinct(pack: P.Pack):
+        keys, place, times = np.unique(pack.buf.view(np.uint64), return_inverse=True, return_counts=True)
+        return keys | (times > 1).astype(np.uint64), place
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in P.opened(batches):
+            yield P.request_batch(list(P.requests(pack.pack_id, TOKENS, n_buckets, distinct(pack)[0])))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in P.opened(batches):
+            keys, place = distinct(pack)
+            times = P.replied(pack, TOKENS, n_buckets, keys)[place] if len(keys) else np.zeros(0, np.uint8)
+            h = pack.buf.view(np.uint64)
+            ids, sizes, tokens, chosen = [], [], [], []
+            for doc_id, s, e in zip(pack.ids.tolist(), (pack.starts // 8).tolist(), (pack.ends // 8).tolist(), strict=True):
+                n, own = e - s, times[s:e]
+                if np.count_nonzero(own > 1) < t.least(n):
+                    continue
+                rare = np.lexsort((h[s:e], own))[: n - t.least(n) + 1]
+                ids.append(doc_id)
+                sizes.append(n)
+                tokens.append(h[s:e].tobytes())
+                chosen.append(h[s:e][rare[own[rare] > 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(chosen, pa.list_(pa.int64()))], names=["doc_id", "size", "tokens", "keys"])
 
     replies = P.exchange(packs.mapInArrow(ask, P.REQUEST_SCHEMA), _answer)
-    return P.checkpointed(P.with_replies(packs, replies).mapInArrow(survivors, _SETS))
+    return P.checkpointed(P.with_replies(packs, replies).mapInArrow(choose, "doc_id long, size long, tokens binary, keys array<long>"))
 
 
 class TokenGroupMatrix:
@@ -321,9 +350,9 @@ def similar_components(docs: DataFrame, share: Fraction | str = "0.75", shingle:
     similarity of their sets of word shingles is at least ``share``; a
     component's id is the smallest doc_id in it."""
     t = Threshold(Fraction(share))
-    sets = shingle_sets(docs, t, shingle, id_col, text_col)
-    tokens = sets.where("tokens is not null").select("doc_id", "size", "tokens")
-    keys = sets.where("tokens is not null").select("doc_id", "size", F.explode("keys").alias("key"))
+    sets, promising = shingle_sets(docs, t, shingle, id_col, text_col)
+    tokens = promising.select("doc_id", "size", "tokens")
+    keys = promising.select("doc_id", "size", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre < other").select("key", "centre")
     keys = P.checkpointed(keys.join(centres, "key"))
     homes = keys.groupBy("doc_id", "size").agg(F.min("centre").alias("home"))
