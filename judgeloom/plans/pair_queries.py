@@ -34,7 +34,7 @@ def style_grid(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("difficulty", T.difficulty_by_styles(F.col("chosen_style"), F.col("rejected_style")))
 
 
-@query("SELECT vec_id, l AS left_index, r AS right_index, round(embedding[l + 1], 6) AS a, round(embedding[r + 1], 6) AS b FROM (SELECT vec_id, embedding, CAST(label % 8 AS INT) AS l, CAST(label % 5 + 8 AS INT) AS r FROM embeddings) WHERE embedding[l + 1] <> embedding[r + 1]")
+@query("SELECT vec_id, l AS left_index, r AS right_index, round(CAST(embedding[l + 1] AS DOUBLE), 6) AS a, round(CAST(embedding[r + 1] AS DOUBLE), 6) AS b FROM (SELECT vec_id, embedding, CAST(label % 8 AS INT) AS l, CAST(label % 5 + 8 AS INT) AS r FROM embeddings) WHERE embedding[l + 1] <> embedding[r + 1]")
 def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.inline(F.array(F.struct((F.col("label") % 8).cast("int").alias("left_index"), (F.col("label") % 5 + 8).cast("int").alias("right_index")))))
     a, b = F.get("embedding", F.col("left_index")), F.get("embedding", F.col("right_index"))
