@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources)]
 
-#: The first and third stages have no SQL; tests hold run() against brute force.
+#: The first and third stages have no SQL.
 ORACLE_SQL = None
 
 
