@@ -46,7 +46,6 @@ THRESHOLD, MIN_DOCS = 0.9, 2
 MAP_BITS = 1 << 16
 
 
-
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -123,7 +122,8 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
         known[b >> 5] |= 1 << (b & 31)
     word, bit = F.col("word"), _bit(F.col("word"))
     let_through = F.getbit(F.element_at(F.array(*(F.lit(k).cast("long") for k in known)), F.shiftright(bit, 5) + 1), bit.bitwiseAND(31)) == 1
-    words = rows.select("row", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("word")).where(let_through).distinct()
+    # a row's repeats go before the shuffle, which then moves one row a word and task
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("word")).where(let_through)
     of_word = words.groupBy("word").agg(F.count("*").alias("c_word"))
     n = rows.count()
     npmi = F.log2(F.lit(float(n)) * F.col("c_both") / (F.col("c_word") * F.col("c_entity"))) / F.log2(F.lit(float(n)) / F.col("c_entity"))
