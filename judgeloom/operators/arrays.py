@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,10 +37,16 @@ def top_k(vector: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct((-e["neg"]).alias("value"), e["index"].alias("index")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, not once for each element
+    of a lambda in the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.transform(values, lambda v: F.exp(v - top) / total)
+    weights = lambda vs: let(F.array_max(vs), lambda top: F.transform(vs, lambda v: F.exp(v - top)))
+    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda a, w: a + w)
+    return let(let(values, weights), lambda ws: let(total(ws), lambda t: F.transform(ws, lambda w: w / t)))
 
 
 def dot(a: Column, b: Column) -> Column:
