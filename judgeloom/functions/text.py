@@ -70,3 +70,43 @@ def render_rubric(constraints: Column) -> Column:
 
 def judge_prompt(preamble: str, *blocks: tuple[str, Column]) -> Column:
     return F.concat(F.lit(preamble), *[F.concat(F.lit(f"\n\n### {name}:\n"), text) for name, text in blocks])
+
+
+# The reporting groups of the second reward benchmark.
+SECOND_GROUPS = ("Factuality", "Precise IF", "Math", "Safety", "Focus", "Ties")
+
+
+def reporting_group(subset: Column, domain: Column, difficulty: Column, sections: dict[str, list[str]]) -> Column:
+    """The group that a subset's scores are reported under; a subset that no
+    rule knows is its own, and a blank one is ``unknown``."""
+    raw = truthy(subset, F.lit("unknown"))
+    out = F
+    for section, members in sections.items():
+        out = out.when(raw.isin(*members), section)
+    out = out.when(raw.isin(*SECOND_GROUPS), raw)
+    rest = lambda prefix: F.lower(truthy(domain, F.substring(raw, len(prefix) + 1, 1 << 20)))
+    out = out.when(raw.startswith("rm-bench-"), F.initcap(rest("rm-bench-")))
+    out = out.when(raw.startswith("helpsteer3-"), F.when(rest("helpsteer3-") == "stem", "STEM").otherwise(F.initcap(rest("helpsteer3-"))))
+    out = out.when(raw == "ifbench", F.coalesce(F.initcap(F.nullif(difficulty, F.lit(""))), F.lit("IFBench")))
+    return out.when(raw == "ppe-ifeval", "PPE-IFEval").otherwise(raw)
+
+
+# Fragments that shouldn't be a chunk of their own, and what they cost.
+_SUBJECT = r"(?:The (?:response|answer)|Response [AB]|It|Both responses)(?:\s+(?:also|only|clearly|explicitly|directly))*"
+FRAGMENTS = (
+    (8.0, r"-\s*Criterion\s+\d+"),
+    (8.0, r"(?:Not )?Met\.\s+(?:There|It|The(?: response)?)"),
+    (8.0, r"Justification:\s*(?:The|A|An|This|That|Response)?"),
+    (8.0, r"(?:Justification:\s*)?" + _SUBJECT),
+    (4.0, _SUBJECT + r"\s+(?:is|are|was|were|has|have|does|provides|uses|mentions|contains|includes)"),
+)
+#: Longer fragments cost nothing.
+FRAGMENT_TOKENS = 5
+
+
+def fragment_penalty(fragment: Column, tokens: Column) -> Column:
+    bare = strip(fragment)
+    out = F.when(tokens > FRAGMENT_TOKENS, 0.0)
+    for cost, pattern in FRAGMENTS:
+        out = out.when(bare.rlike(rf"(?iU)^(?:{pattern})\z"), cost)
+    return out.otherwise(0.0)

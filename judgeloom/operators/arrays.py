@@ -55,3 +55,43 @@ def dot(a: Column, b: Column) -> Column:
 
 def pad_right(tokens: Column, length: Column, fill: Column) -> Column:
     return F.concat(tokens, F.array_repeat(fill, (length - F.size(tokens)).cast("int")))
+
+
+def differences(ends: Column) -> Column:
+    """Sizes of chunks from their ends."""
+    return F.transform(ends, lambda e, i: e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1)))
+
+
+def increasing(ends: Column) -> Column:
+    """Whether chunk ends rise from above zero, with one at least."""
+    return (F.size(ends) > 0) & F.forall(differences(ends), lambda n: n > 0)
+
+
+def probability_checks(p: Column) -> list[Column]:
+    finite = F.forall(p, lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return [finite.alias("finite"), F.forall(p, lambda x: x >= 0).alias("non_negative"), (F.aggregate(p, F.lit(0.0), lambda a, x: a + x) > 0).alias("has_mass")]
+
+
+def resample(values: Column, slots: int) -> Column:
+    """Entries at even distances from first to last, rounded half to even."""
+    return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.get(values, F.bround(i * (F.size(values) - 1) / F.lit(max(slots - 1, 1)), 0).cast("int")))
+
+
+SOFT_MODES = ("weighted", "top1", "uniform", "temperature")
+
+
+def soft_mode(p: Column, mode: str, temperature: float = 1.0) -> Column:
+    """A row of probabilities as it is, all on its first largest entry, even,
+    or flattened by a temperature; sums to one."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    norm = lambda a: let(a, lambda xs: let(F.greatest(total(xs), F.lit(1e-12)), lambda t: F.transform(xs, lambda x: x / t)))
+    if mode == "top1":
+        best = F.array_position(p, F.array_max(p)) - 1
+        return F.transform(p, lambda x, i: F.when(i == best, 1.0).otherwise(0.0))
+    if mode == "uniform":
+        return F.transform(p, lambda x: F.lit(1.0) / F.size(p))
+    if mode == "temperature":
+        return norm(F.transform(norm(p), lambda x: F.pow(F.greatest(x, F.lit(1e-12)), F.lit(1 / temperature))))
+    if mode != "weighted":
+        raise ValueError(mode)
+    return norm(p)

@@ -69,3 +69,34 @@ def confusion(rows: DataFrame, gold: str, guess: str) -> DataFrame:
 
 def stats(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def chunk_histogram(sizes: DataFrame, rate: int = 8, preferred: tuple[int, int] = (6, 10)) -> DataFrame:
+    """(size, chunks, share, at_rate, outside) of one row a chunk."""
+    counts = sizes.groupBy("size").agg(F.count("*").alias("chunks"))
+    # sizes are few, so the total is over a handful of rows
+    total = counts.agg(F.sum("chunks").alias("total"))
+    return counts.join(F.broadcast(total)).select("size", "chunks", (F.col("chunks") / F.col("total")).alias("share"), (F.col("size") == rate).alias("at_rate"), (~F.col("size").between(*preferred)).alias("outside"))
+
+
+def chunk_stats(histogram: DataFrame, rate: int = 8, preferred: tuple[int, int] = (6, 10)) -> DataFrame:
+    """One row of counts from a histogram."""
+    size, n = F.col("size"), F.col("chunks")
+    some = lambda c: F.sum(F.when(c, n).otherwise(0))
+    return histogram.agg(
+        F.sum(n).alias("chunks"), F.sum(size * n).alias("tokens"), F.min(size).alias("least"), F.max(size).alias("most"), some(size == rate).alias("at_rate"), some(size < rate).alias("below_rate"), some(size > rate).alias("above_rate"),
+        some(size < preferred[0]).alias("below_preferred"), some(size > preferred[1]).alias("above_preferred"), (F.sum(size * n) / F.sum(n)).alias("tokens_per_chunk"))
+
+
+# How many first tokens the scopes of a loss take.
+SCOPES = {"first_1": 1, "first_8": 8, "first_32": 32, "first_64": 64}
+
+
+def scoped_loss(rows: DataFrame, position: str, loss: str, starts_chunk: Column) -> DataFrame:
+    """(scope, tokens, nll, perplexity); positions count from one.  Rows are
+    summed by scope in each task, in columns, before they are turned."""
+    scopes = {name: F.col(position) <= n for name, n in SCOPES.items()} | {"all": F.lit(True), "chunk_boundaries": starts_chunk}
+    sums = rows.agg(*[F.struct(F.count_if(c).alias("tokens"), F.sum(F.when(c, F.col(loss))).alias("sum")).alias(name) for name, c in scopes.items()])
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(name).alias("scope"), f"{name}.*") for name in scopes])).alias("s")).select("s.*")
+    nll = F.coalesce("sum", F.lit(0.0)) / F.greatest("tokens", F.lit(1))
+    return long.select("scope", "tokens", nll.alias("nll"), F.exp(F.least(nll, F.lit(20.0))).alias("perplexity"))
