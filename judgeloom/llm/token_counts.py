@@ -4,7 +4,7 @@ Each commit turns inserted, deleted and revised documents into additive totals
 by source, language and tokenizer version: inserts add, deletes subtract, a
 revision subtracts what was and adds what is.  A batch is stored under its own
 id, so committing it again replaces it and totals don't change; totals are the
-sums over all batches, and ``compact`` folds batches into one without changing
+sums over all batches, and ``compact`` folds batches into a base without changing
 them.
 
 The tokenizer's ranks are read from a path that every executor has.
@@ -18,6 +18,7 @@ tokens are both zero are left out of the totals; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,49 +72,95 @@ def delta(inserted: DataFrame | None = None, deleted: DataFrame | None = None, r
 
 
 class Rollup:
-    """Totals in a folder that all executors share."""
+    """Totals in a folder that all executors share.
+
+    ``batch=<id>`` holds the delta of a batch, ``base=<n>`` the folded totals of
+    all batches listed in ``base=<n>/ids``.  Only the newest base counts, with
+    the batches that it doesn't list.  Both appear by one rename of a finished
+    folder, and what a newer base replaces is removed after that, so a writer
+    that dies at any point leaves the totals as they were before or after."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch_id: str, rows: DataFrame) -> None:
-        """Stores a batch's delta; once more is the same as once."""
-        if self.is_folded(batch_id):
-            return
-        rows.select(*_GROUP, "n_docs", "n_tokens").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+    def _fs(self, name: str = "") -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, prefix: str) -> list[str]:
+        fs, root = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
+
+    def _remove(self, name: str) -> None:
+        fs, path = self._fs(name)
+        fs.delete(path, True)
+
+    def _publish(self, unfinished: str, name: str) -> None:
+        fs, target = self._fs(name)
+        if fs.exists(target):  # the same batch again
+            fs.delete(target, True)
+        if not fs.rename(self._fs(unfinished)[1], target):
+            raise OSError(f"Could not publish {name}")
+
+    def _base(self) -> int | None:
+        return max(map(int, self._names("base=")), default=None)
+
+    def _folded(self) -> DataFrame | None:
+        base = self._base()
+        return None if base is None else self.spark.read.schema("id string").parquet(f"{self.path}/base={base}/ids")
 
     def is_folded(self, batch_id: str) -> bool:
-        folded = self._read("folded-ids", "id string")
+        folded = self._folded()
         return folded is not None and not folded.where(F.col("id") == batch_id).isEmpty()
 
-    def _read(self, name: str, schema: str) -> DataFrame | None:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(jvm_path) else None
+    def commit(self, batch_id: str, rows: DataFrame) -> None:
+        """Stores a batch's delta; once more is the same as once."""
+        if self.is_folded(batch_id):
+            return
+        unfinished = f"unfinished-{uuid.uuid4().hex}"
+        rows.select(*_GROUP, "n_docs", "n_tokens").write.parquet(f"{self.path}/{unfinished}")
+        self._publish(unfinished, f"batch={batch_id}")
 
     def batches(self) -> list[str]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        """Ids of the batches that no base lists."""
+        names, folded = sorted(self._names("batch=")), self._folded()
+        if folded is None or not names:
+            return names
+        known = {r["id"] for r in folded.where(F.col("id").isin(names)).collect()}  # among the few that are there
+        return [n for n in names if n not in known]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all batches."""
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(_STATE).parquet(*paths) if paths else self.spark.createDataFrame([], _STATE)
+        return self._totals(self.batches())
+
+    def _totals(self, batches: list[str]) -> DataFrame:
+        base = self._base()
+        paths = [f"{self.path}/batch={b}" for b in batches] + ([] if base is None else [f"{self.path}/base={base}/totals"])
+        rows = self.spark.createDataFrame([], _STATE)
+        for path in paths:
+            rows = rows.unionByName(self.spark.read.schema(_STATE).parquet(path))
         sums = rows.groupBy(*_GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self, batch_id: str) -> None:
-        """Folds all batches into one.  The ids are noted before the batches
-        go, so that none of them can be committed a second time."""
-        old = [b for b in self.batches() if b != batch_id]
-        totals = self.spark.createDataFrame(self.totals().collect(), _STATE)  # one row a group
-        totals.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}.new")
-        self.spark.createDataFrame([(b,) for b in old], "id string").write.mode("append").parquet(f"{self.path}/folded-ids")
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for b in old:
-            fs.delete(path(f"{self.path}/batch={b}"), True)
-        fs.rename(path(f"{self.path}/batch={batch_id}.new"), path(f"{self.path}/batch={batch_id}"))
+    def compact(self) -> None:
+        """Folds all batches into the next base; their ids are kept, so that
+        none can be committed a second time."""
+        batches, base, folded = self.batches(), self._base(), self._folded()
+        unfinished = f"unfinished-{uuid.uuid4().hex}"
+        self._totals(batches).write.parquet(f"{self.path}/{unfinished}/totals")
+        ids = self.spark.createDataFrame([(b,) for b in batches], "id string")
+        (ids if folded is None else ids.unionByName(folded)).write.parquet(f"{self.path}/{unfinished}/ids")
+        self._publish(unfinished, f"base={0 if base is None else base + 1}")
+        self.clean()
+
+    def clean(self) -> None:
+        """Removes what no longer counts: folded batches and older bases, also
+        those that a dead writer left."""
+        live, base = set(self.batches()), self._base()
+        for b in self._names("batch="):
+            if b not in live:
+                self._remove(f"batch={b}")
+        for n in map(int, self._names("base=")):
+            if base is not None and n < base:
+                self._remove(f"base={n}")

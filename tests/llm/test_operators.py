@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from judgeloom.llm import components, decontaminate, exact_dedup, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from judgeloom.llm import components, decontaminate, exact_dedup, jaccard_join, mixing, pii, queries, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, source string, lang string, row long, size long, key string"
 
@@ -220,9 +220,48 @@ def test_token_rollup(spark, tmp_path):
     r.commit("two", token_counts.delta(deleted=docs.where("doc_id = 3"), revised=(docs.where("doc_id = 1"), table(spark, [(1, "hello", "a")]))))
     want = {("a", 2, 1)}
     assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == want
-    r.compact("all")
+    for _ in range(2):
+        r.compact()
+        r.commit("one", token_counts.delta(inserted=docs))
+        assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == want
+    assert r.batches() == [] and r._names("base=") == ["1"]
+
+
+def test_token_rollup_survives_a_dead_writer(spark, tmp_path, monkeypatch):
+    docs = table(spark, [(1, "hello world", "a"), (2, "bye", "b")])
+    r = token_counts.Rollup(spark, str(tmp_path / "r"))
     r.commit("one", token_counts.delta(inserted=docs))
-    assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == want
+    want = set(map(tuple, r.totals().collect()))
+
+    def die(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m:  # before a base is there
+        m.setattr(r, "_publish", die)
+        with pytest.raises(RuntimeError):
+            r.compact()
+        with pytest.raises(RuntimeError):
+            r.commit("two", token_counts.delta(inserted=docs))
+    assert set(map(tuple, r.totals().collect())) == want and r.batches() == ["one"]
+    with monkeypatch.context() as m:  # after that, before the batches are gone
+        m.setattr(r, "clean", die)
+        with pytest.raises(RuntimeError):
+            r.compact()
+    assert set(map(tuple, r.totals().collect())) == want
+    r.commit("one", token_counts.delta(inserted=docs))
+    assert set(map(tuple, r.totals().collect())) == want
+    r.clean()
+    assert r._names("batch=") == [] and set(map(tuple, r.totals().collect())) == want
+
+
+def test_token_counts_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in queries.queries()["op4_token_counts"](spark, "/root/testdata/sf0.001").collect()}
+    enc, want = token_counts.encoding(token_counts.RANKS, token_counts.PATTERN), {}
+    for r in docs.collect():
+        n, t = want.get((r["source"], r["lang"]), (0, 0))
+        want[r["source"], r["lang"]] = (n + 1, t + len(enc.encode_ordinary(r["text"] or "")))
+    assert got == want
 
 
 def test_empty_tables(spark):
