@@ -54,9 +54,35 @@ def normalise_status(x: Column) -> Column:
     return F.when(v == "met", "met").when(v == "not met", "not_met").when(v.isin("partially met", "not fully met"), "partial")
 
 
+# The forms of a verdict, of its section, and of a name in it.
+VERDICT = r"(?imU)(?:\*\*)?Final\s+Judg(?:e)?ment(?:\*\*)?\s*:\s*(?:\*\*)?(?:Response\s+)?([A-Z])\b"
+VERDICT_SECTION = r"(?isU)(?:---\s*|\*\*)Final\s+Judg(?:e)?ment(?:\s*---|\*\*)?\s*:?(.*)\z"
+
+
 def final_judgment(x: Column) -> Column:
-    """A or B of the last explicit judgment."""
-    return F.upper(F.try_element_at(F.regexp_extract_all(x, F.lit(r"(?i)Final Judgment:\s*(?:Response )?([AB])"), F.lit(1)), F.lit(-1)))
+    """The letter of the last explicit judgment; without any, the response that
+    the final section names first."""
+    stated = F.try_element_at(F.regexp_extract_all(x, F.lit(VERDICT), F.lit(1)), F.lit(-1))
+    section = F.try_element_at(F.regexp_extract_all(x, F.lit(VERDICT_SECTION), F.lit(1)), F.lit(-1))
+    named = F.try_element_at(F.regexp_extract_all(section, F.lit(r"(?iU)\bResponse\s+([AB])\b"), F.lit(1)), F.lit(1))
+    return F.upper(F.coalesce(stated, named))
+
+
+def normalise_judgment(x: Column) -> Column:
+    """A or B at the end of a stored label."""
+    return F.upper(F.try_element_at(F.regexp_extract_all(strip(x), F.lit(r"(?iU)(?:Response\s+)?([AB])\s*\z"), F.lit(1)), F.lit(1)))
+
+
+def external_label(x: Column) -> Column:
+    v = strip(x)
+    return F.when(v.isin("Response A", "response_a"), "Response A").when(v.isin("Response B", "response_b"), "Response B")
+
+
+def masked(x: Column, pattern: str) -> Column:
+    """All that a pattern matches as blanks, lengths and line ends unchanged."""
+    found, between = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, F.lit(pattern), -1)
+    blank = lambda m: F.regexp_replace(m, r"[^\n]", " ")
+    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(blank(F.get(found, i)), F.lit("")))), "")
 
 
 def without_lines(x: Column, head: str) -> Column:

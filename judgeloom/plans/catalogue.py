@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays_queries, evaluation_queries, measure_queries, pair_queries, source_queries, text_queries, trace_queries  # noqa: F401  they register
+from . import arrays_queries, evaluation_queries, layout_queries, measure_queries, pair_queries, source_queries, text_queries, trace_queries  # noqa: F401  they register
 from .registry import ORACLES, QUERIES
 
 
