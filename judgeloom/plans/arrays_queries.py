@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arrays as A
 from ..operators import kernels
+from ..operators.traces import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -92,7 +93,7 @@ def allocated_budget(spark: SparkSession, d: str) -> DataFrame:
     """Chunk counts of a document's sentences (at least four words each)."""
     parts = F.transform(F.split("text", r"\.\s"), lambda s: F.size(F.split(s, " ")))
     rows = table(spark, d, "documents").select("doc_id", F.filter(parts, lambda n: n >= 4).alias("lengths"))
-    return rows.mapInPandas(kernels.allocate_rows, "doc_id long, counts array<int>")
+    return spread(rows).mapInPandas(kernels.allocate_rows, "doc_id long, counts array<int>")
 
 
 @query()
@@ -101,4 +102,4 @@ def lcs_rouge(spark: SparkSession, d: str) -> DataFrame:
     t = F.split("text", " ")
     half = F.greatest(F.lit(1), F.floor(F.size(t) / 2).cast("int"))
     rows = table(spark, d, "documents").select("doc_id", F.slice(t, F.lit(1), half).alias("a"), F.slice(t, half + 1, F.size(t)).alias("b"))
-    return rows.mapInPandas(kernels.lcs_rows, "doc_id long, lcs int, rouge double")
+    return spread(rows).mapInPandas(kernels.lcs_rows, "doc_id long, lcs int, rouge double")

@@ -160,3 +160,38 @@ def test_generators(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, prompt string")
     got = {r["id"]: r["output"] for r in generate.generate(rows, lambda: generate.stub, batch=1).collect()}
     assert got == {1: generate.stub(["a"])[0], 2: None, 3: generate.stub(["b"])[0]}
+
+
+def test_samples_and_noise_do_not_depend_on_partitions(spark, tmp_path):
+    from judgeloom.plans import catalogue
+
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    vectors.repartition(7, F.xxhash64("vec_id")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("hash_sample", "gumbel_topk"):
+        run = catalogue.queries()[name]
+        one, other = (sorted(map(tuple, run(spark, d).collect())) for d in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one == other
+    assert len(catalogue.queries()["hash_sample"](spark, str(tmp_path)).collect()) == 100
+    sums = catalogue.queries()["gumbel_topk"](spark, str(tmp_path)).groupBy("vec_id").agg(F.sum("p").alias("s"), F.count("*").alias("n")).collect()
+    assert len(sums) == vectors.count() and all(abs(r["s"] - 1) < 1e-9 and r["n"] == 10 for r in sums)
+
+
+def test_texts_with_nulls_and_odd_verdicts(spark):
+    from judgeloom.functions import text as T
+
+    rows = [(None, None), ("", None), ("Final Judgment: A\nFinal Judgement: b", "B"), ("**Final Judgment** I prefer response a over Response B", "A"), ("Response A wins", None), ("--- Final Judgment ---\nnone", None)]
+    df = spark.createDataFrame(rows, "x string, want string").select(T.final_judgment(F.col("x")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in df.collect())
+    df = spark.createDataFrame([("a `b\nc` <d>",), (None,), ("",)], "x string").select(T.masked(F.col("x"), r"`[^`]*`|<[^<>\n]+>").alias("m"))
+    assert [r["m"] for r in df.collect()] == ["a   \n      ", None, ""]
+
+
+def test_mixed_evaluation_records(spark):
+    from judgeloom.operators import layout
+
+    rows = [(0, " p ", "Response B", None, None, None, None, None), (1, " ", "Response A", None, None, None, None, None), (2, "p", "tie", None, None, None, None, None), (3, None, None, "i", "r", "a", "b", "response_a"), (4, None, None, "i", None, "a", "", "response_a"), (5, None, None, "i", "r", "a", "b", "C")]
+    df = spark.createDataFrame(rows, "eval_index int, problem string, cot_answer string, instruction string, rubric string, response_a string, response_b string, label string")
+    got = {r["eval_index"]: (r["cot_answer"], r["subset"], r["exchange"], r["fault"]) for r in layout.eval_records(df, "J", "T").collect()}
+    assert {k: v[3] for k, v in got.items()} == {0: None, 1: "problem", 2: "cot_answer", 3: None, 4: "missing rubric response_b", 5: "label"}
+    assert got[0] == ("Response B", "unknown", False, None) and got[3][0] == "Response A"
+    assert layout.eval_records(df.limit(0), "J", "T").collect() == []
