@@ -6,21 +6,22 @@ so that Java's matcher needs no backtracking: a run of name characters is tried
 from its first one only (or from the end of the match before, ``\G``).
 
 On top of that, terms that disclose an entity are found from the corpus: an
-entity is a distinct base value; its terms are the words next to its mentions.
-A term's disclosure is the normalised pointwise mutual information
+entity is a distinct base value; its terms are the words of the documents that
+hold it.  A term's disclosure is the normalised pointwise mutual information
 
     log2(n * c(term, entity) / (c(term) * c(entity))) / log2(n / c(entity))
 
 with counts of documents over the whole corpus; 1 means the term never occurs
-without the entity.  Terms that two documents or more have next to an entity
-and that reach the threshold are spans of the kind ``term`` in the entity's
-documents.  ``sanitised`` generalises base spans to their kind and removes
-terms.
+without the entity.  Terms that two documents or more have together with an
+entity and that reach the threshold are spans of the kind ``term`` in all
+documents, with base spans or without.  ``sanitised`` generalises base spans to
+their kind and removes terms.
 
-All of it is DataFrame and SQL functions.  Texts aren't shuffled: the documents
-with base spans (few) are kept with their texts; all others only pass the
-patterns, and a count of words that a fixed bit map of the candidate terms lets
-through.
+All of it is DataFrame and SQL functions.  Texts are shuffled only of documents
+with base spans; of all others only the words that a fixed bit map lets through
+are.  A document meets its terms by the MD5 of its text; up to
+``BROADCAST_ROWS`` texts with terms are broadcast, beyond that texts are
+shuffled to them.
 
 Results for odd inputs: a null text counts as empty and has no spans; null ids
 stay null; repeated rows give a row each, and count as documents; an empty table
@@ -39,11 +40,13 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Words of at least so many letters within so many characters of a mention.
-TERM, REACH = r"\p{L}{4,}", 40
+#: Words of at least so many letters.
+TERM = r"\p{L}{4,}"
 THRESHOLD, MIN_DOCS = 0.9, 2
-#: Bits of the map of candidate terms; its size doesn't depend on the data.
-MAP_BITS = 1 << 16
+#: Bits of a map of words (two a word); its size doesn't depend on the data.
+MAP_BITS = 1 << 22
+#: Texts with terms that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def _digits(x: Column) -> Column:
@@ -88,51 +91,69 @@ def _base(kind: str, text: Column) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["match"]))
 
 
-def _words_near(text: Column, span: Column) -> Column:
-    """Whole words next to a span, in lower case."""
-    left = F.regexp_replace(F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH))), r"^\p{L}+", "")
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(REACH)), r"\p{L}+$", "")
-    return F.regexp_extract_all(F.lower(F.concat(left, F.lit(" | "), right)), F.lit(TERM), F.lit(0))
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _bit(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(MAP_BITS)).cast("int")
+def _bits(term: Column) -> list[Column]:
+    h = F.xxhash64(term)
+    return [F.pmod(x, F.lit(MAP_BITS)).cast("int") for x in (h, F.shiftright(h, 32))]
+
+
+def _map_of(words: DataFrame) -> Column:
+    """The bits of a table's words as one literal, whatever their number."""
+    bits = words.select(F.explode(F.array(*_bits(F.col("word")))).alias("bit"))
+    parts = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("flags")).collect()
+    known = ["0"] * (MAP_BITS // 64)
+    for r in parts:
+        known[r["at"]] = str(r["flags"])
+    return F.split(F.lit(",".join(known)), ",").cast("array<bigint>")
+
+
+def _let_through(known: Column, words: Column) -> Column:
+    """The words of an array whose bits a map has."""
+    has = lambda b: F.getbit(F.element_at(known, F.shiftright(b, 6) + 1), b.bitwiseAND(63)) == 1
+    return F.filter(words, lambda w: has(_bits(w)[0]) & has(_bits(w)[1]))
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, email, ip, card, phone, term, text): arrays of spans (start,
     end, match) in code points, end exclusive; text only where there are any."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    based = rows.select("row", "doc_id", "text", *[_base(k, F.col("text")).alias(k) for k in KINDS])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    based = rows.select("doc_id", "text", *[_base(k, F.col("text")).alias(k) for k in KINDS])
     any_span = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    based = checkpointed(based.withColumn("text", F.when(any_span, F.col("text"))))
-    having = based.where("text is not null")
-
-    mentions = having.select("row", "text", F.explode(F.concat(*KINDS)).alias("span"))
-    near = mentions.select("row", F.col("span.match").alias("entity"), F.explode(F.array_distinct(_words_near(F.col("text"), F.col("span")))).alias("word")).distinct()
-    of_entity = mentions.select("row", F.col("span.match").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_entity"))
-    pairs = checkpointed(near.groupBy("word", "entity").agg(F.count("*").alias("c_both")).where(F.col("c_both") >= min_docs))
+    none = F.array().cast("array<struct<start: int, end: int, match: string>>")
+    entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda s: s["match"]))
+    having = checkpointed(based.where(any_span).select(F.monotonically_increasing_id().alias("row"), "text", entities.alias("entities")))
+
+    mentions = having.select("row", F.explode("entities").alias("entity"))
+    of_entity = checkpointed(mentions.groupBy("entity").agg(F.count("*").alias("c_entity")).where(F.col("c_entity") >= min_docs))
+    # entities of too few documents go before the words of theirs are paired
+    shared = mentions.join(of_entity, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    words = having.select("row", "text").join(shared, "row").select("entities", F.explode(_words(F.col("text"))).alias("word"))
+    pairs = checkpointed(words.select("word", F.explode("entities").alias("entity")).groupBy("word", "entity").agg(F.count("*").alias("c_both")).where(F.col("c_both") >= min_docs))
+    unmarked = based.withColumn("text", F.when(any_span, F.col("text"))).withColumn("term", none)
     if pairs.isEmpty():
-        return based.withColumn("term", F.array().cast("array<struct<start: int, end: int, match: string>>"))
-
-    # 65,536 flags in one literal, whatever the number of terms
-    flags = pairs.select(_bit(F.col("word")).alias("bit")).distinct().agg(F.collect_set("bit").alias("set")).first()["set"]
-    known = [0] * (MAP_BITS // 32)
-    for b in flags:
-        known[b >> 5] |= 1 << (b & 31)
-    word, bit = F.col("word"), _bit(F.col("word"))
-    let_through = F.getbit(F.element_at(F.array(*(F.lit(k).cast("long") for k in known)), F.shiftright(bit, 5) + 1), bit.bitwiseAND(31)) == 1
+        return unmarked
+
     # a row's repeats go before the shuffle, which then moves one row a word and task
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("word")).where(let_through)
-    of_word = words.groupBy("word").agg(F.count("*").alias("c_word"))
+    of_word = rows.select(F.explode(_let_through(_map_of(pairs), _words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c_word"))
     n = rows.count()
     npmi = F.log2(F.lit(float(n)) * F.col("c_both") / (F.col("c_word") * F.col("c_entity"))) / F.log2(F.lit(float(n)) / F.col("c_entity"))
-    telling = pairs.join(of_word, "word").join(of_entity, "entity").where((F.col("c_entity") < n) & (npmi >= threshold)).select("entity", "word")
-    own = mentions.select("row", F.col("span.match").alias("entity")).distinct().join(telling, "entity").groupBy("row").agg(F.collect_set("word").alias("words"))
-    told = having.select("row", "text").join(own, "row")
+    telling = checkpointed(pairs.join(of_word, "word").join(of_entity, "entity").where((F.col("c_entity") < n) & (npmi >= threshold)).select("word").distinct())
+    if telling.isEmpty():
+        return unmarked
+
+    key = F.md5(F.col("text").cast("binary"))
+    passed = rows.select("text", _let_through(_map_of(telling), _words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    passed = passed.select(key.alias("key"), F.explode("words").alias("word"))
+    told = checkpointed(passed.join(telling, "word").groupBy("key").agg(F.collect_set("word").alias("words")))
+    if told.count() <= BROADCAST_ROWS:
+        told = F.broadcast(told)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("words", lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(r")(?!\p{L})"))
-    told = told.select("row", _placed(F.col("text"), pattern).alias("term"))
-    return based.join(told, "row", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start: int, end: int, match: string>>")))
+    marked = based.withColumn("key", key).join(told, "key", "left").withColumn("term", F.when(F.col("words").isNotNull(), _placed(F.col("text"), pattern)).otherwise(none))
+    return marked.select("doc_id", F.when(any_span | F.col("words").isNotNull(), F.col("text")).alias("text"), *KINDS, "term")
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -143,7 +164,7 @@ def listed(kinds: tuple[str, ...]) -> Column:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, clean_text) of the documents with spans: base spans generalised
+    """(doc_id, clean_text) of the documents with spans or terms: base spans generalised
     to ``[kind]``, disclosing terms removed."""
     found = find_personal_data(docs, id_col=id_col, text_col=text_col, **options).where("text is not null")
     by = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]" if k != "term" else "").alias("by"))

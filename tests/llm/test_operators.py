@@ -187,6 +187,25 @@ def test_url_filter(spark):
         ("x.net", "/free/pills", None, "block"), ("x.net", "/freedom/pills", None, "allow"), ("", "", None, "block"), ("", "", None, "allow"), ("casino-win.net", "", None, "block"), ("b.org", "", None, "allow")]
 
 
+def test_disclosing_terms_beyond_base_spans(spark):
+    far = " ".join(["ordinary"] * 20)
+    rows = [(i, f"nothing ordinary here {i}", "s") for i in range(4000)] + [(5000 + i, f"Zanzibarian {far} wrote from zed@mail.org again", "s") for i in range(3)] + [(6000, "the zanzibarian alone", "s"), (6000, "the zanzibarian alone", "s"), (None, "ZANZIBARIAN", "s")]
+    docs = table(spark, rows)
+    found = pii.find_personal_data(docs)
+    assert found.count() == len(rows)
+    marked = sorted((r["doc_id"] or 0, [s["match"] for s in r["term"] if s["match"].lower() == "zanzibarian"]) for r in found.where("size(term) > 0").collect())
+    assert marked == [(0, ["ZANZIBARIAN"]), *((5000 + i, ["Zanzibarian"]) for i in range(3)), (6000, ["zanzibarian"]), (6000, ["zanzibarian"])]
+    clean = sorted((r["doc_id"] or 0, r["clean_text"]) for r in pii.sanitised(docs).collect())
+    assert clean[0] == (0, "") and clean[-2:] == [(6000, "the  alone")] * 2 and len(clean) == 6
+    several = pii.BROADCAST_ROWS
+    try:
+        pii.BROADCAST_ROWS = 0
+        key = lambda r: (r["doc_id"] or 0, str(r))
+        assert sorted(pii.find_personal_data(docs).collect(), key=key) == sorted(found.collect(), key=key)
+    finally:
+        pii.BROADCAST_ROWS = several
+
+
 def test_levenshtein_automaton():
     import numpy as np
 
