@@ -9,7 +9,10 @@ Learning, from a bounded sample of labelled rows (``MAX_TRAINING``):
    scanner below.
 
 Scoring: the Levenshtein automaton of distance one is intersected with the trie
-of all terms and made deterministic, one table of states by byte.  All words of
+of all words, and with that of all stems, and made deterministic, one table of
+states by byte.  Terms of fewer than ``FUZZY_LENGTH`` letters are matched
+exactly; of such a stem, the longer words it covers are matched at distance one
+in its place.  All words of
 a batch run through the table together, a byte at a time; most die after two.
 A hit's precision is its weight.  A window around each hit is looked at: within
 quotation marks, or after a reporting verb, a hit is quoted and weighs less.
@@ -44,7 +47,7 @@ MIN_CONTEXTS, STEM = 4, (4, 6)
 MIN_PRECISION = 0.97
 #: Precision of a term at distance 0 and 1 before anything is counted (as two rows).
 PRIOR = (0.95, 0.8)
-#: Words from this length on are also matched at distance one.
+#: Words and stems from this length on are also matched at distance one.
 FUZZY_LENGTH = 5
 #: What is left of a quoted hit's weight, and how far the window reaches (bytes).
 QUOTED, WINDOW = 0.5, 60
@@ -58,11 +61,13 @@ _OPEN, _CLOSE = ('"', "“", "„", "«"), ('"', "”", "“", "»")
 
 @dataclass
 class Lexicon:
-    """words and stems, and the weight of (term, is stem, distance)."""
+    """words and stems, the weight of (term, is stem, distance), and the stem of
+    words that a stem too short for distance one covers."""
 
     words: list[bytes]
     stems: list[bytes]
     weights: dict[tuple[bytes, bool, int], float] = field(default_factory=dict)
+    covered: dict[bytes, bytes] = field(default_factory=dict)
 
 
 class Automaton:
@@ -70,7 +75,8 @@ class Automaton:
 
     A state is a set of (trie node, errors).  ``table[state, class of byte]``
     is the next state, 0 the dead one.  ``accepts[state]`` is (term, distance)
-    of the nearest term."""
+    of the nearest term.  A stem that has been read stays in the state, whatever
+    follows, in case a nearer one is still to come."""
 
     def __init__(self, terms: list[bytes], distance: int, fuzzy_length: int = FUZZY_LENGTH, stems: bool = False) -> None:
         self.terms = terms
@@ -93,6 +99,9 @@ class Automaton:
             ends[node] = k
         fuzzy[0] = max([0, *map(len, terms)])
 
+        def accepted(node: int, errors: int) -> bool:
+            return ends[node] is not None and (errors == 0 or len(terms[ends[node]]) >= fuzzy_length)
+
         def closed(state: set) -> frozenset:
             todo = list(state)
             while todo:
@@ -108,7 +117,7 @@ class Automaton:
             return frozenset(best.items())
 
         def step(state: frozenset, b: int | None) -> frozenset:
-            out = set()
+            out = {(n, errors) for n, errors in state if stems and accepted(n, errors)}
             for node, errors in state:
                 if b is not None and b in children[node]:
                     out.add((children[node][b], errors))
@@ -125,7 +134,7 @@ class Automaton:
             row = []
             for b in [None, *letters]:
                 to = step(states[k], b) if k else frozenset()
-                if stems and any(ends[n] is not None for n, _ in states[k]):
+                if stems and any(ends[n] is not None and errors == 0 for n, errors in states[k]):
                     to = states[k]  # what follows a stem is free
                 if to not in number:
                     number[to] = len(states)
@@ -136,9 +145,10 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         self.accepts: list[tuple[int, int] | None] = []
         for state in states:
-            hits = [(errors, ends[n]) for n, errors in state if ends[n] is not None and (errors == 0 or len(terms[ends[n]]) >= fuzzy_length)]
+            hits = [(errors, ends[n]) for n, errors in state if accepted(n, errors)]
             self.accepts.append((min(hits)[1], min(hits)[0]) if hits else None)
         self.accepting = np.array([a is not None for a in self.accepts])
+        self.settled = self.accepting & (self.table == np.arange(len(states))[:, None]).all(axis=1)
         self.longest = max([0, *map(len, terms)]) + distance
         self.shortest = min([99, *map(len, terms)]) - distance
         self.stems = stems
@@ -151,7 +161,7 @@ class Automaton:
         for k in range(self.longest + 1):
             over = lengths[alive] == k
             if self.stems:
-                over |= self.accepting[state]
+                over |= self.settled[state] | (k == self.longest)
             done = over & self.accepting[state]
             who.append(alive[done])
             what.append(state[done])
@@ -168,7 +178,7 @@ class Scanner:
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
-        self.automata = [Automaton(lexicon.words, 1), Automaton(lexicon.stems, 0, stems=True)]
+        self.automata = [Automaton(lexicon.words, 1), Automaton(lexicon.stems, 1, stems=True), Automaton(sorted(lexicon.covered), 1)]
 
     def hits(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bool, int, bool]]:
         """(text, term, is stem, distance, is quoted)."""
@@ -182,7 +192,7 @@ class Scanner:
             starts = np.concatenate([[0], starts])
         lengths = np.flatnonzero(step == -1) + 1 - starts
         ends = np.cumsum([len(t) + 1 for t in texts])
-        for automaton, stem in zip(self.automata, (False, True), strict=True):
+        for automaton, stem in zip(self.automata, (False, True, None), strict=True):
             if not automaton.terms:
                 continue
             who, what = automaton.run(buf, starts, lengths)
@@ -190,7 +200,12 @@ class Scanner:
             for w, s, t in zip(who.tolist(), what.tolist(), of.tolist(), strict=True):
                 term, distance = automaton.accepts[s]
                 begin = int(ends[t - 1]) if t else 0
-                yield t, automaton.terms[term], stem, distance, quoted(raw, low, begin, int(starts[w]), int(starts[w] + lengths[w]), int(ends[t]) - 1)
+                found = automaton.terms[term]
+                if stem is None:
+                    if distance == 0:  # the stem itself has it
+                        continue
+                    found = self.lexicon.covered[found]
+                yield t, found, stem is not False, distance, quoted(raw, low, begin, int(starts[w]), int(starts[w] + lengths[w]), int(ends[t]) - 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         left = np.ones(len(texts))
@@ -307,8 +322,10 @@ def _chosen(terms: list[tuple[bytes, bool, int]]) -> Lexicon:
         if not any(t.startswith(s) for s in stems) and longest < 0.6 * n:
             stems[t] = n
     left = {w: n for w, n in words.items() if not any(w.startswith(s) for s in stems)}
+    covered = {w: s for w in words if len(w) >= FUZZY_LENGTH for s in stems if len(s) < FUZZY_LENGTH and w.startswith(s)}
     best = sorted([*((n, w, False) for w, n in left.items()), *((n, s, True) for s, n in stems.items())], key=lambda x: (-x[0], x[1]))[:MAX_TERMS]
-    return Lexicon(sorted(t for _, t, stem in best if not stem), sorted(t for _, t, stem in best if stem))
+    kept = {t for _, t, stem in best if stem}
+    return Lexicon(sorted(t for _, t, stem in best if not stem), sorted(kept), covered={w: s for w, s in covered.items() if s in kept})
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,6 +216,30 @@ def test_levenshtein_automaton():
     assert {words[w]: a.accepts[s] for w, s in zip(who, what)} == {b"stupid": (0, 0), b"stpid": (0, 1), b"stuupid": (0, 1), b"stupyd": (0, 1), b"scum": (1, 0), b"tupid": (0, 1)}
 
 
+def test_levenshtein_stems():
+    import numpy as np
+
+    a = toxicity.Automaton([b"grump", b"scum"], 1, stems=True)
+    words = [b"grump", b"grumpish", b"gruumpish", b"grmpishnesses", b"gtumpen", b"rumpish", b"gtunpen", b"scumming", b"scamming", b"g"]
+    buf, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    who, what = a.run(buf, np.cumsum(lengths) - lengths, lengths)
+    assert {words[w]: a.accepts[s] for w, s in zip(who, what)} == {b"grump": (0, 0), b"grumpish": (0, 0), b"gruumpish": (0, 1), b"grmpishnesses": (0, 1), b"gtumpen": (0, 1), b"rumpish": (0, 1), b"scumming": (1, 0)}
+
+
+def test_misspelt_inflections(spark):
+    rng = random.Random(2)
+    words = ["w" + "abcdefgh"[i % 8] * (i // 8 + 2) for i in range(64)]
+    for family, wrong in ((["blorghish", "blorghous", "blorghent", "blorghima"], "blirghous"), (["zorkaba", "zorkemo", "zorkiti", "zorkuku"], "zirkemo")):
+        rows = [(i, " ".join([*rng.choices(words, k=12), *([family[i // 3 % 4]] if i % 3 == 0 else []), *rng.choices(words, k=5)]), "s") for i in range(600)]
+        labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+        docs = table(spark, [*rows, (1000, f"you {wrong} there", "s"), (1001, f"you {family[1]} there", "s"), (1002, "you wander there", "s")])
+        lexicon = toxicity.learn(docs, labels)
+        assert lexicon.stems and not lexicon.words
+        out = {i: r["score"] for i, r in by_id(toxicity.score(docs, lexicon)).items()}
+        assert out[1000] >= 0.7 and out[1001] >= 0.7 and out[1002] == 0
+        assert all((out[i] >= 0.7) == (i % 3 == 0) for i, _, _ in rows)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     words = ["w" + "abcdefgh"[i % 8] * (i // 8 + 2) for i in range(64)]
