@@ -124,11 +124,16 @@ def _portions(column: pa.Array, most: int = P.PACK_BYTES) -> Iterator[tuple[int,
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans): spans are the runs of hit words
     as positions among the document's words, end exclusive."""
-    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return _overlaps(rows, benchmark, window, broadcast_bytes, item_col, item_text).drop("row")
+
+
+def _overlaps(rows: DataFrame, benchmark: DataFrame, window: int, broadcast_bytes: int, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """find_overlaps of (row, doc_id, text), with the row."""
+    spark = rows.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = max(1, -(-total // broadcast_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     schema = "row long, doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<long>"
     parts = []
     for k in range(n_slices):
@@ -143,7 +148,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, broad
         merged = "aggregate(array_sort(spans), cast(array() as array<struct<start: bigint, end: bigint>>), (a, s) -> case when size(a) > 0 and s.start <= element_at(a, -1).end then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, s.end) as end))) else concat(a, array(struct(s.start as start, s.end as end))) end)"
         found = found.withColumn("spans", F.expr(merged))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return found.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def judged(overlaps: DataFrame, least_percent: int = 5) -> DataFrame:
@@ -153,14 +158,18 @@ def judged(overlaps: DataFrame, least_percent: int = 5) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_percent: int = 5, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows, all columns unchanged; the texts aren't
-    shuffled."""
+    """docs without contaminated rows, all columns unchanged.  Each row is judged
+    by itself, whatever its id.  Beyond broadcast_bytes the rows are numbered
+    and checkpointed, and joined to the numbers of the contaminated ones; up to
+    it the texts aren't shuffled."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > broadcast_bytes:
-        bad = judged(find_overlaps(docs, benchmark, window, broadcast_bytes, id_col, text_col), least_percent).where("contaminated").select(F.col("doc_id").alias("_bad"))
-        return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+        numbered = P.checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+        rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+        bad = judged(_overlaps(rows, benchmark, window, broadcast_bytes), least_percent).where("contaminated").select(F.col("row").alias("_bad"))
+        return numbered.join(bad, numbered["_row"] == bad["_bad"], "left_anti").drop("_row")
     grams = spark.sparkContext.broadcast(NGrams([tuple(r) for r in items.collect()], window))
     place = docs.columns.index(text_col)
 

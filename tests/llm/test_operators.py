@@ -161,6 +161,15 @@ def test_apportionment_is_sainte_lague(spark):
     assert out == {p: seats[p] for p in votes}
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    items = spark.createDataFrame([(1, " ".join("t%d" % i for i in range(20))), (2, "short item")], "item_id long, text string")
+    rows = [(None, "short item", "s"), (None, "clean one", "s"), (7, "short item", "s"), (7, "clean two", "s"), (8, "short item", "s")]
+    for bound in (32 << 20, 20):
+        left = decontaminate.remove_contaminated(table(spark, rows), items, broadcast_bytes=bound)
+        assert left.columns == table(spark, rows).columns
+        assert sorted(r["text"] for r in left.collect()) == ["clean one", "clean two"]
+
+
 def test_personal_data(spark):
     text = "é mail a@b.c_x@y.z ip 1.2.3.4.5 256.1.1.1 card 4111 1111 1111 1111, +1 (22) 333-44 555"
     out = by_id(pii.find_personal_data(table(spark, [(1, text, "s"), (2, None, "s"), (3, "", "s"), (4, "1" * 5000 + "a" * 5000 + "@", "s")])))
