@@ -206,7 +206,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = F.unhex(text_digest(docs[text_col]))
     left = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (own == kept["_digest"]), "left_semi")
     unique = docs.groupBy(docs[id_col]).count().where("count > 1").isEmpty()
-    return left if unique else left.dropDuplicates([id_col, text_col])
+    return left if unique else left.withColumn("_own", F.unhex(text_digest(left[text_col]))).dropDuplicates([id_col, "_own"]).drop("_own")
 
 
 def update_index(live: DataFrame, changes: DataFrame) -> DataFrame:

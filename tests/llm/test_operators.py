@@ -95,6 +95,13 @@ def test_cuckoo_filter_grows_and_deletes():
     assert not index.delete(digests[0], 1)
 
 
+def test_drop_copies_of_one_id_by_case(spark):
+    docs = table(spark, [(1, "Some text", "s"), (1, "some TEXT", "s"), (None, "Other", "s"), (None, "oTHER", "s"), (1, "else", "s"), (2, None, "s"), (2, "", "s")])
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in out.collect()) == [(0, "other"), (1, "else"), (1, "some text"), (2, "")]
+
+
 def test_jaccard_components(spark):
     rows = sample()
     sets = {}
