@@ -154,3 +154,13 @@ def test_rows_only_queries(spark, name):
     assert rows.count() > 0
     if name == "gumbel_topk":
         assert all(abs(r["s"] - 1) < 1e-9 for r in rows.groupBy("vec_id").agg(F.sum("p").alias("s")).collect())
+
+
+def test_refined_frontiers_has_a_row_for_every_document(spark, tmp_path):
+    from judgeloom.plans import trace_queries
+
+    large = (1 << 53) + 1
+    rows = [(large, " ".join(["word"] * 40)), (2, "too short"), (None, " ".join(["word"] * 40)), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = trace_queries.refined_frontiers(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["frontiers"] is None, r["taken"] is None) for r in out) == [(0, False, False), (2, True, True), (4, True, True), (5, True, True), (large, False, False)]
