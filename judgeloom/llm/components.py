@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packs import checkpointed
+from .packs import checkpointed, looked_up
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,15 +13,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round takes the least label among an id's neighbours, then that
     label's own label, so that chains shorten by half.  Labels of a hub's
-    neighbours are combined before they are shuffled.  Raises if labels still
-    change after ``rounds``."""
+    neighbours are combined before they are shuffled; the label of a hub, and
+    that of a component with many members, is looked up in a small broadcast.
+    Raises if labels still change after ``rounds``."""
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")))
+    n_edges, n = both.count(), labels.count()
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("low"))
+        near = looked_up(both, labels.select(F.col("id").alias("b"), "component"), "b", n_edges).groupBy("a").agg(F.min("component").alias("low"))
         lower = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("component"))
+        if n >= 1000:
+            lower = checkpointed(lower)
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        now = checkpointed(lower.join(jump, "component", "left").select("id", "was", F.least("component", "next").alias("component")))
+        now = checkpointed(looked_up(lower, jump, "component", n).select("id", "was", F.least("component", "next").alias("component")))
         labels = now.select("id", "component")
         if now.where("component <> was").isEmpty():
             return labels

@@ -2,20 +2,23 @@
 
 The index of a bucket of digests has two parts: a cuckoo filter of 16-bit
 fingerprints, which can insert and delete, and the stored content (full digest,
-length, what stays), in small cells.  A miss in the filter proves a digest new;
-a hit is verified against the content of its cell.  When an insertion
+length, live members), in small cells.  A miss in the filter proves a digest
+new; a hit is verified against the content of its cell.  When an insertion
 overflows, the filter is rebuilt at twice the size from the stored digests.
 
-Each task first runs an index over its own rows, so that a text with copies in
-a third of all rows arrives once per task at its bucket's index.
-
-``ExactIndex`` also serves standing tables: ``update_index`` applies insertions
-and deletions of digests to bucketed live content.
+``exact_groups`` only inserts, so its entries fold their members into the one
+that stays and a count: each task first runs an index over its own rows, so that
+a text with copies in a third of all rows arrives once per task at its bucket's
+index.  ``update_index`` serves a standing table of live members under
+insertions and deletions; its buckets are of members, not of digests, so that a
+text with very many copies is spread over all of them, and ``live_classes`` says
+which member stays.
 
 Texts are equal if identical after lower-casing A-Z.  Results for odd inputs: a
 null text counts as empty; of rows with the same largest id one stays (the
 first as stored); a null id is smaller than all others; an empty table gives an
-empty table; other columns are ignored.
+empty table; other columns are ignored, and kept by ``drop_copies``, which goes
+by row numbers, so that ids may repeat there or be null.
 """
 
 from __future__ import annotations
@@ -86,47 +89,67 @@ class CuckooFilter:
 
 
 class ExactIndex:
-    """Live digests with what stays of each: (key, number of rows)."""
+    """Live digests, each an entry [digest, length, members].  Members are
+    (doc_id is there, doc_id, -row) with a count of rows each; the greatest one
+    stays.  A folding index keeps that one only, with the count of all rows, and
+    can't delete."""
 
-    def __init__(self, expected: int = 1000) -> None:
+    def __init__(self, expected: int = 1000, fold: bool = False) -> None:
         self.filter = CuckooFilter(expected // 3 + 1)
-        self.content: dict[int, list[list]] = {}
+        self.content: dict[int, list[tuple[bytes, int, dict[tuple, int]]]] = {}
         self.size = 0
         self.resized = 0
+        self.fold = fold
 
     def _cell(self, digest: bytes) -> int:
         return int.from_bytes(digest[10:13], "little")
 
-    def find(self, digest: bytes, length: int) -> list | None:
+    def find(self, digest: bytes, length: int) -> dict[tuple, int] | None:
+        """The members of a live digest."""
         if digest not in self.filter:
             return None
-        for entry in self.content.get(self._cell(digest), ()):
-            if entry[0] == digest and entry[1] == length:
-                return entry
+        for known, n, members in self.content.get(self._cell(digest), ()):
+            if known == digest and n == length:
+                return members
         return None
 
+    def keeps(self, digest: bytes, length: int) -> tuple | None:
+        members = self.find(digest, length)
+        return max(members) if members else None
+
     def insert(self, digest: bytes, length: int, key: tuple, rows: int = 1) -> None:
-        entry = self.find(digest, length)
-        if entry is not None:
-            entry[2] = max(entry[2], key)
-            entry[3] += rows
+        members = self.find(digest, length)
+        if members is not None:
+            if self.fold:
+                ((other, n),) = members.items()
+                members.clear()
+                members[max(other, key)] = n + rows
+            else:
+                members[key] = members.get(key, 0) + rows
             return
-        self.content.setdefault(self._cell(digest), []).append([digest, length, key, rows])
+        self.content.setdefault(self._cell(digest), []).append((digest, length, {key: rows}))
         self.size += 1
         try:
             self.filter.insert(digest)
         except Overflow:
             self._rebuild()
 
-    def delete(self, digest: bytes, length: int, rows: int = 1) -> bool:
-        """Takes rows off a digest; without any left it isn't live any more."""
-        entry = self.find(digest, length)
-        if entry is None:
+    def delete(self, digest: bytes, length: int, key: tuple, rows: int = 1) -> bool:
+        """Takes a live member's rows off; a digest without members isn't live
+        any more.  False if the member wasn't live."""
+        if self.fold:
+            raise TypeError("a folding index has no members to delete")
+        members = self.find(digest, length)
+        if members is None or key not in members:
             return False
-        entry[3] -= rows
-        if entry[3] <= 0:
-            self.content[self._cell(digest)].remove(entry)
-            self.filter.delete(digest)
+        members[key] -= rows
+        if members[key] <= 0:
+            del members[key]
+        if not members:
+            cell = self.content[self._cell(digest)]
+            cell[:] = [e for e in cell if (e[0], e[1]) != (digest, length)]
+            if not any(e[0] == digest for e in cell):
+                self.filter.delete(digest)
             self.size -= 1
         return True
 
@@ -137,13 +160,13 @@ class ExactIndex:
             self.resized += 1
             self.filter = CuckooFilter(cells)
             try:
-                for entry in self.entries():
-                    self.filter.insert(entry[0])
+                for digest in {entry[0] for entry in self.entries()}:
+                    self.filter.insert(digest)
                 return
             except Overflow:
                 continue
 
-    def entries(self) -> Iterator[list]:
+    def entries(self) -> Iterator[tuple[bytes, int, dict[tuple, int]]]:
         for cell in self.content.values():
             yield from cell
 
@@ -154,14 +177,14 @@ def text_digest(text: Column) -> Column:
 
 
 _ENTRIES = "digest binary, length long, keep_id long, keep_row long, rows long"
+_NAMES = [x.split()[0] for x in _ENTRIES.split(", ")]
 _TYPES = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
 def _table(index: ExactIndex, kind=pa.RecordBatch):
-    rows = [(d, n, k[1] if k[0] else None, -k[2], c) for d, n, k, c in index.entries()]
+    rows = [(d, n, k[1] if k[0] else None, -k[2], c) for d, n, members in index.entries() for k, c in members.items()]
     columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    names = [x.split()[0] for x in _ENTRIES.split(", ")]
-    return kind.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)], names=names)
+    return kind.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
 def _key(doc_id: int | None, row: int) -> tuple:
@@ -169,19 +192,19 @@ def _key(doc_id: int | None, row: int) -> tuple:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = ExactIndex()
+    index = ExactIndex(fold=True)
     for batch in batches:
         for digest, n, doc_id, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             index.insert(digest, n, _key(doc_id, row))
             if index.size >= LOCAL_ENTRIES:
                 yield _table(index)
-                index = ExactIndex()
+                index = ExactIndex(fold=True)
     yield _table(index)
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    index = ExactIndex(table.num_rows)
-    for digest, n, keep, row, rows in zip(*(table.column(x.split()[0]).to_pylist() for x in _ENTRIES.split(", ")), strict=True):
+    index = ExactIndex(table.num_rows, fold=True)
+    for digest, n, keep, row, rows in zip(*(table.column(x).to_pylist() for x in _NAMES), strict=True):
         index.insert(digest, n, _key(keep, row), rows)
     return _table(index, pa.Table)
 
@@ -189,43 +212,59 @@ def _merged(table: pa.Table) -> pa.Table:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row: of equal
     texts the row with the largest id stays."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_digest(text)).alias("digest"), F.octet_length(F.coalesce(text.cast("string"), F.lit(""))).cast("long").alias("length"))
-    rows = P.checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    n = max(P.shuffle_width(docs.sparkSession), -(-rows.count() // BUCKET_ROWS))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _groups(rows).drop("row")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """exact_groups of (doc_id, text, row), with the row, whose number is unique."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = P.checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_digest(text)).alias("digest"), F.octet_length(text).cast("long").alias("length"), "row"))
+    total = rows.count()
+    n = max(P.shuffle_width(docs.sparkSession), -(-total // BUCKET_ROWS))
     local = rows.select("digest", "length", "doc_id", "row").mapInArrow(_local, _ENTRIES)
     bucket = F.pmod(F.xxhash64("digest"), F.lit(n)).alias("bucket")
-    classes = local.groupBy(bucket).applyInArrow(_merged, _ENTRIES)
-    joined = rows.join(classes.select("digest", "keep_id", "keep_row", F.col("rows").alias("group_size")), "digest")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    classes = P.checkpointed(local.groupBy(bucket).applyInArrow(_merged, _ENTRIES)).select("digest", "keep_id", "keep_row", F.col("rows").alias("group_size"))
+    # texts of very many copies are at most 50,000; no task gets all rows of one
+    heavy = F.broadcast(classes.where(F.col("group_size") >= P.heavy_at(total)))
+    rest = rows.join(heavy.select("digest"), "digest", "left_anti").join(classes.where(F.col("group_size") < P.heavy_at(total)), "digest")
+    both = rows.join(heavy, "digest").unionByName(rest) if total >= P.heavy_at(total) else rows.join(classes, "digest")
+    return both.select("row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns unchanged."""
-    kept = P.checkpointed(exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")))
-    own = F.unhex(text_digest(docs[text_col]))
-    left = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (own == kept["_digest"]), "left_semi")
-    unique = docs.groupBy(docs[id_col]).count().where("count > 1").isEmpty()
-    return left if unique else left.withColumn("_own", F.unhex(text_digest(left[text_col]))).dropDuplicates([id_col, "_own"]).drop("_own")
+    """The rows of docs that stay, all columns unchanged: one of equal texts, by
+    its row number, so that rows with one id, or without, are told apart."""
+    rows, number = P.numbered(docs)
+    found = _groups(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(number).alias("row")))
+    return P.without_rows(rows, number, found.where("not kept"))
 
 
 def update_index(live: DataFrame, changes: DataFrame) -> DataFrame:
-    """live(digest, length, keep_id, keep_row, rows) after changes of the same
-    columns, where positive rows are inserted and negative ones deleted, in the
-    order: all insertions, then all deletions.  A deletion of what isn't live
-    changes nothing."""
+    """live(digest, length, keep_id, keep_row, rows), one row a live member, after
+    changes of the same columns, where positive rows are inserted and negative
+    ones deleted, in the order: all insertions, then all deletions.  A deletion
+    of what isn't live changes nothing.  Null ids are members too."""
 
     def apply(table: pa.Table) -> pa.Table:
         index, gone = ExactIndex(table.num_rows), []
-        for digest, n, keep, row, rows in zip(*(table.column(x.split()[0]).to_pylist() for x in _ENTRIES.split(", ")), strict=True):
+        for digest, n, keep, row, rows in zip(*(table.column(x).to_pylist() for x in _NAMES), strict=True):
             if rows > 0:
                 index.insert(digest, n, _key(keep, row), rows)
             else:
-                gone.append((digest, n, -rows))
-        for digest, n, rows in gone:
-            index.delete(digest, n, rows)
+                gone.append((digest, n, _key(keep, row), -rows))
+        for change in gone:
+            index.delete(*change)
         return _table(index, pa.Table)
 
-    names = [x.split()[0] for x in _ENTRIES.split(", ")]
-    both = live.select(names).unionByName(changes.select(names))
-    return both.groupBy(F.pmod(F.xxhash64("digest"), F.lit(P.shuffle_width(live.sparkSession)))).applyInArrow(apply, _ENTRIES)
+    both = live.select(_NAMES).unionByName(changes.select(_NAMES))
+    bucket = F.pmod(F.xxhash64("digest", "keep_id", "keep_row"), F.lit(P.shuffle_width(live.sparkSession)))
+    return both.groupBy(bucket).applyInArrow(apply, _ENTRIES)
+
+
+def live_classes(live: DataFrame) -> DataFrame:
+    """(digest, length, keep_id, keep_row, rows) of each live digest: the member
+    that stays, and how many rows there are."""
+    best = F.max(F.struct(F.col("keep_id").isNotNull(), "keep_id", (-F.col("keep_row")).alias("r"), "keep_row"))
+    found = live.groupBy("digest", "length").agg(best.alias("best"), F.sum("rows").alias("rows"))
+    return found.select("digest", "length", "best.keep_id", "best.keep_row", "rows")

@@ -28,9 +28,12 @@ every pair that reaches the threshold is either found or already connected.
 
 Results for odd inputs: null, empty or blank texts have no shingles and are
 linked with nothing; a text of fewer words than a shingle is one shingle; rows
-of one text, repeated ids included, have one class; a null id sorts
-after all others: it is in its class, or else its own component (null); an empty table gives an
-empty table; other columns are ignored.
+of one text, repeated ids included, have one class; rows with one id are one
+document, so that what is linked to any of their texts is linked to all; a null
+id sorts after all others: it is in its class, or else its own component (null)
+and linked with nothing; an empty table gives an empty table; other columns are
+ignored.  ``drop_near_copies`` goes by rows instead: there, ids may be null or
+repeated.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import packs as P
 from .components import components
-from .rolling import Rolling, mix
+from .hashing import mix, windows
 
 TOKENS, CLASSES = 0, 1
 #: A block is split beyond so many documents or tokens.
@@ -85,13 +88,13 @@ class _Sets:
         from .substring_dedup import _Words
 
         w = _Words(pack, width)
-        one = Rolling(pack.buf, 0)
         at = np.flatnonzero(w.left >= width)
-        doc, h = w.doc[at], w.hashes(one, at, width)
-        few = np.flatnonzero((w.count > 0) & (w.count < width))
-        if len(few):
-            doc = np.concatenate([doc, few])
-            h = np.concatenate([h, one.of(w.starts[w.first[few]], w.ends[w.first[few] + w.count[few] - 1])])
+        doc, h = w.doc[at], w.windows(width)[at]
+        for n in range(1, width):  # fewer words are one shingle
+            few = np.flatnonzero(w.count == n)
+            if len(few):
+                doc = np.concatenate([doc, few])
+                h = np.concatenate([h, windows(w.codes(), n)[w.first[few]]])
         h = h & np.uint64((1 << 64) - 2)  # the lowest bit is kept for the exchange
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
@@ -146,7 +149,7 @@ def _answer(level: int, keys: np.ndarray, b: list, c: list) -> np.ndarray:
 def _class_ids(pack: P.Pack, n_buckets: int, keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), np.int64)
     for bucket, s, e in P.slices(keys, n_buckets):
-        out[s:e] = pack.replies[CLASSES][bucket].view(np.int64)
+        out[s:e] = np.frombuffer(pack.replies[CLASSES, bucket].tobytes(), np.int64)
     return out
 
 
@@ -157,16 +160,16 @@ def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_co
     packs = P.pack(docs, P.lower_words_text, id_col, text_col)
     n_buckets = P.bucket_count(packs)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
-            sets = _Sets(pack, width)
-            a, b, low, _, _ = sets.digests(pack.ids)
-            yield P.request_batch([*P.requests(pack.pack_id, TOKENS, n_buckets, sets.prefix(t)[0]), *P.requests(pack.pack_id, CLASSES, n_buckets, a, b, low)])
+    def ask(pack: P.Pack) -> Iterator[P.Request]:
+        sets = _Sets(pack, width)
+        a, b, low, _, _ = sets.digests(pack.ids)
+        yield from P.requests(TOKENS, n_buckets, sets.prefix(t)[0])
+        yield from P.requests(CLASSES, n_buckets, a, b, low)
 
-    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def survivors(packs: Iterator[P.Pack]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and one with the sets that go on, as a pack
         whose texts are tokens of eight bytes."""
-        for pack in P.opened(batches):
+        for pack in packs:
             sets = _Sets(pack, width)
             a, _, _, place, with_set = sets.digests(pack.ids)
             rep = pack.ids.copy()
@@ -182,36 +185,36 @@ def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_co
             ids, sizes = pack.ids[goes_on], 8 * sets.size[goes_on]
             columns = [
                 pa.concat_arrays([P.ids_out(pack.ids), pa.nulls(1, pa.int64())]), pa.concat_arrays([pa.array(sets.size), pa.nulls(1, pa.int64())]), pa.concat_arrays([P.ids_out(rep), pa.nulls(1, pa.int64())]),
-                pa.array([*none, pack.pack_id], pa.int64()), pa.array([*none, len(tokens)], pa.int64()), *(pa.array([*none, x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), P.squeeze(tokens)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rep_id", "pack_id", "n_bytes", "ids", "sizes", "text"])
+                *(pa.array([*none, x], pa.int64()) for x in (pack.group_id, pack.pack_id, len(tokens))), *(pa.array([*none, x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), P.squeeze(tokens)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rep_id", "group_id", "pack_id", "n_bytes", "ids", "sizes", "text"])
 
-    replies = P.exchange(packs.mapInArrow(ask, P.REQUEST_SCHEMA), _answer)
-    mixed = P.checkpointed(P.with_replies(packs, replies).mapInArrow(survivors, f"doc_id long, size long, rep_id long, {P.PACK_SCHEMA}"))
+    replies = P.exchange(P.requested(packs, ask), _answer)
+    mixed = P.checkpointed(P.finished(packs, survivors, f"doc_id long, size long, rep_id long, {P.PACK_SCHEMA}", replies))
     every = mixed.where("pack_id is null").select("doc_id", "size", "rep_id")
-    left = mixed.where("pack_id is not null").select("pack_id", "n_bytes", "ids", "sizes", "text")
+    left = mixed.where("pack_id is not null").drop("doc_id", "size", "rep_id")
     return every, _promising(left, t)
 
 
 def _promising(packs: DataFrame, t: Threshold) -> DataFrame:
-    """Checkpointed (doc_id, size, tokens, keys) of the sets enough of whose
-    tokens occur in other sets of the packs; keys are the shared ones among the
-    rarest tokens, at least one of which every partner has."""
+    """Checkpointed (doc_id, size, tokens, keys, places) of the sets enough of
+    whose tokens occur in other sets of the packs; keys are the shared ones
+    among the rarest tokens, at least one of which every partner has, and places
+    how many tokens of the set are rarer."""
     n_buckets = P.bucket_count(packs)
 
     def distinct(pack: P.Pack):
         keys, place, times = np.unique(pack.buf.view(np.uint64), return_inverse=True, return_counts=True)
         return keys | (times > 1).astype(np.uint64), place
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
-            yield P.request_batch(list(P.requests(pack.pack_id, TOKENS, n_buckets, distinct(pack)[0])))
+    def ask(pack: P.Pack) -> Iterator[P.Request]:
+        return P.requests(TOKENS, n_buckets, distinct(pack)[0])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
+    def choose(packs: Iterator[P.Pack]) -> Iterator[pa.RecordBatch]:
+        for pack in packs:
             keys, place = distinct(pack)
             times = P.replied(pack, TOKENS, n_buckets, keys)[place] if len(keys) else np.zeros(0, np.uint8)
             h = pack.buf.view(np.uint64)
-            ids, sizes, tokens, chosen = [], [], [], []
+            ids, sizes, tokens, chosen, places = [], [], [], [], []
             for doc_id, s, e in zip(pack.ids.tolist(), (pack.starts // 8).tolist(), (pack.ends // 8).tolist(), strict=True):
                 n, own = e - s, times[s:e]
                 if np.count_nonzero(own > 1) < t.least(n):
@@ -220,11 +223,13 @@ def _promising(packs: DataFrame, t: Threshold) -> DataFrame:
                 ids.append(doc_id)
                 sizes.append(n)
                 tokens.append(h[s:e].tobytes())
-                chosen.append(h[s:e][rare[own[rare] > 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(chosen, pa.list_(pa.int64()))], names=["doc_id", "size", "tokens", "keys"])
+                common = np.flatnonzero(own[rare] > 1)
+                chosen.append(h[s:e][rare[common]].view(np.int64))
+                places.append(common)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(chosen, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], names=["doc_id", "size", "tokens", "keys", "places"])
 
-    replies = P.exchange(packs.mapInArrow(ask, P.REQUEST_SCHEMA), _answer)
-    return P.checkpointed(P.with_replies(packs, replies).mapInArrow(choose, "doc_id long, size long, tokens binary, keys array<long>"))
+    replies = P.exchange(P.requested(packs, ask), _answer)
+    return P.checkpointed(P.finished(packs, choose, "doc_id long, size long, tokens binary, keys array<long>, places array<long>", replies))
 
 
 class TokenGroupMatrix:
@@ -352,7 +357,7 @@ def similar_components(docs: DataFrame, share: Fraction | str = "0.75", shingle:
     t = Threshold(Fraction(share))
     sets, promising = shingle_sets(docs, t, shingle, id_col, text_col)
     tokens = promising.select("doc_id", "size", "tokens")
-    keys = promising.select("doc_id", "size", F.explode("keys").alias("key"))
+    keys = promising.select("doc_id", "size", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
     centres = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre < other").select("key", "centre")
     keys = P.checkpointed(keys.join(centres, "key"))
     homes = keys.groupBy("doc_id", "size").agg(F.min("centre").alias("home"))
@@ -368,18 +373,23 @@ def similar_components(docs: DataFrame, share: Fraction | str = "0.75", shingle:
     led = led.join(many, "home", "left_semi").select("doc_id", "home").join(tokens, "doc_id")
     edges = P.checkpointed(edges.unionByName(_joined(_split(led, _parts(led)), t)))
 
-    # Links between different groups of different blocks.
+    # Links between different groups of different blocks: small groups ask.
     groups = P.checkpointed(_labelled(homes, edges))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
-    rank = F.struct("members", "group")
-    ranked = P.checkpointed(groups.join(sizes, "group").select("doc_id", "home", "part", "group", rank.alias("rank")))
-    placed = keys.select("key", "doc_id").join(ranked, "doc_id")
+    heavy = groups.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") >= P.heavy_at(groups.count()))
+    rank = F.struct(F.coalesce("members", F.lit(0)), "group")
+    ranked = P.checkpointed(groups.join(F.broadcast(heavy), "group", "left").select("doc_id", "home", "part", "group", rank.alias("rank")))
+    placed = keys.select("key", "doc_id", "size", (F.col("size") - F.col("place")).alias("ahead")).join(ranked, "doc_id")
     mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     placed = P.checkpointed(placed.join(mixed, "key", "left_semi"))
-    most = placed.groupBy("key", F.col("home").alias("to_home"), F.col("part").alias("to_part")).agg(F.max("rank").alias("most"))
-    sent = placed.join(most, "key").where("rank < most and (home <> to_home or part <> to_part)")
-    sent = P.checkpointed(sent.select("doc_id", "group", F.col("to_home").alias("home"), F.col("to_part").alias("part")).distinct())
-    loads = sent.groupBy("home", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
+    most = placed.groupBy("key", F.col("home").alias("to_home"), F.col("part").alias("to_part")).agg(F.max("rank").alias("most"), F.max("ahead").alias("reach"), F.min("size").alias("least"))
+    # Tokens before the first common one aren't shared: what is ahead of it in
+    # both sets must do for the overlap that their sizes ask for.
+    sizes = F.col("size") + F.greatest("least", F.ceil(F.col("size") * t.p / t.q))
+    near = (t.p + t.q) * F.least("ahead", "reach") >= t.p * sizes
+    sent = placed.join(most, "key").where(F.expr("rank < most and (home <> to_home or part <> to_part)") & near)
+    sent = P.checkpointed(sent.select("doc_id", "size", "group", F.col("to_home").alias("home"), F.col("to_part").alias("part")).distinct())
+    chunks = F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int")
+    loads = sent.groupBy("home", "part").agg(chunks.alias("chunks"))
     asked = sent.join(loads, ["home", "part"]).select("home", "part", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "group", F.lit(True).alias("query"))
     held = groups.select("doc_id", "group", "home", "part").join(loads, ["home", "part"]).select("home", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "group", F.lit(False).alias("query"))
 
@@ -389,10 +399,21 @@ def similar_components(docs: DataFrame, share: Fraction | str = "0.75", shingle:
 
     across = asked.unionByName(held).join(tokens.select("doc_id", "tokens"), "doc_id").groupBy("home", "part", "chunk").applyInArrow(search, "a long, b long")
     labels = components(edges.unionByName(P.checkpointed(across)))
-    named = sets.select("doc_id", F.col("size").alias("n_shingles"), "rep_id").join(labels.withColumnRenamed("id", "rep_id"), "rep_id", "left")
+    named = P.looked_up(sets.select("doc_id", F.col("size").alias("n_shingles"), "rep_id"), labels.withColumnRenamed("id", "rep_id"), "rep_id")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "rep_id").alias("component_id"))
 
 
 def _labelled(homes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = components(edges).select(F.col("id").alias("doc_id"), "component")
     return homes.join(labels, "doc_id", "left").select("doc_id", "home", "part", F.coalesce("component", "doc_id").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, share: Fraction | str = "0.75", shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, all columns unchanged: the smallest
+    id's (null last), of several the first.  Every row is a document of its own,
+    whatever its id; rows without words all stay."""
+    rows, number = P.numbered(docs)
+    found = similar_components(rows, share, shingle, number, text_col).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    found = P.checkpointed(found.join(rows.select(F.col(number).alias("row"), F.col(id_col).alias("id")), "row"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    return P.without_rows(rows, number, found.join(first.select("row"), "row", "left_anti"))

@@ -43,8 +43,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Words of at least so many letters.
 TERM = r"\p{L}{4,}"
 THRESHOLD, MIN_DOCS = 0.9, 2
-#: Bits of a map of words (two a word); its size doesn't depend on the data.
-MAP_BITS = 1 << 22
+#: Bits of a map of words (two a word): 32 for each word, between these.
+MAP_BITS = (1 << 16, 1 << 26)
+#: Entries that are folded at a time.
+PART = 256
 #: Texts with terms that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
@@ -73,20 +75,51 @@ def _valid(kind: str, x: Column) -> Column:
     return n.between(8, 15)
 
 
+_SPANS = "array<struct<start: int, end: int, match: string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(values: Column) -> Column:
+    """An array in parts of PART."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PART).cast("int")), lambda k: F.slice(values, k * PART + 1, F.lit(PART)))
+
+
+def _folded(values: Column, start: int, combine) -> Column:
+    """What an array of numbers comes to before each place, and after the last.
+    A fold that grows an array copies it each time, so parts are folded apart,
+    and their results once more: steps follow the length, not its square."""
+    grow = lambda a, x: F.concat(a, F.array(combine(F.element_at(a, F.lit(-1)), x)))
+    scan = lambda xs: F.aggregate(xs, F.array(F.lit(start)), grow)
+
+    def of_parts(scanned: Column) -> Column:
+        ends = scan(F.transform(scanned, lambda p: F.element_at(p, F.lit(-1))))
+        # a part's last entry is the next one's first
+        inner = lambda e: F.flatten(F.transform(scanned, lambda p, k: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: combine(x, F.get(e, k)))))
+        return _let(ends, lambda e: F.concat(inner(e), F.slice(e, F.size(e), F.lit(1))))
+
+    return _let(values, lambda vs: F.when(F.size(vs) > 0, _let(F.transform(_parts(vs), scan), of_parts)).otherwise(F.array(F.lit(start))))
+
+
 def _placed(text: Column, pattern: Column) -> Column:
     """Matches of a pattern with their places, in code points: what stands
     between matches tells where they start."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), lambda b: F.length(b)).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, match: string>>").alias("spans"))
-    grown = lambda a, s: F.struct((a["at"] + s["gap"] + F.length(s["match"])).alias("at"), F.concat(a["spans"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + F.length(s["match"])).alias("end"), s["match"].alias("match")))).alias("spans"))
-    return F.aggregate(steps, start, grown, lambda a: a["spans"])
+    steps = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
+
+    def spans(s: Column) -> Column:
+        lengths = F.transform(s, lambda x: F.length(x["before"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+        ends = lambda e: F.transform(F.filter(s, lambda x: x["match"].isNotNull()), lambda x, i: F.struct((F.get(e, i + 1) - F.length(x["match"])).alias("start"), F.get(e, i + 1).alias("end"), x["match"].alias("match")))
+        return _let(_folded(lengths, 0, lambda a, x: a + x), ends)
+
+    return _let(steps, spans).cast(_SPANS)
 
 
 def _base(kind: str, text: Column) -> Column:
     pattern, clue = {"email": (EMAIL, text.contains("@")), "ip": (IP, text.rlike(r"[0-9]\.[0-9]")), "card": (CARD, text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")), "phone": (PHONE, text.contains("+"))}[kind]
-    none = F.array().cast("array<struct<start: int, end: int, match: string>>")
+    none = F.array().cast(_SPANS)
     spans = F.when(clue, _placed(text, F.lit(pattern))).otherwise(none)
     return F.filter(spans, lambda s: _valid(kind, s["match"]))
 
@@ -96,25 +129,27 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _bits(term: Column) -> list[Column]:
+def _bits(term: Column, n_bits: int) -> list[Column]:
     h = F.xxhash64(term)
-    return [F.pmod(x, F.lit(MAP_BITS)).cast("int") for x in (h, F.shiftright(h, 32))]
+    return [F.pmod(x, F.lit(n_bits)).cast("int") for x in (h, F.shiftright(h, 32))]
 
 
-def _map_of(words: DataFrame) -> Column:
-    """The bits of a table's words as one literal, whatever their number."""
-    bits = words.select(F.explode(F.array(*_bits(F.col("word")))).alias("bit"))
-    parts = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("flags")).collect()
-    known = ["0"] * (MAP_BITS // 64)
-    for r in parts:
-        known[r["at"]] = str(r["flags"])
-    return F.split(F.lit(",".join(known)), ",").cast("array<bigint>")
+def _map_of(words: DataFrame) -> tuple[Column, int]:
+    """The bits of a table's words as one literal, and their number."""
+    n_bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (32 * words.agg(F.approx_count_distinct("word")).first()[0]).bit_length()))
+    bits = words.select(F.explode(F.array(*_bits(F.col("word"), n_bits))).alias("bit"))
+    parts = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("flags")).toArrow()
+    known = ["0"] * (n_bits // 64)
+    for at, flags in zip(parts.column("at").to_pylist(), parts.column("flags").to_pylist(), strict=True):
+        known[at] = str(flags)
+    return F.split(F.lit(",".join(known)), ",").cast("array<bigint>"), n_bits
 
 
-def _let_through(known: Column, words: Column) -> Column:
+def _let_through(known: tuple[Column, int], words: Column) -> Column:
     """The words of an array whose bits a map has."""
-    has = lambda b: F.getbit(F.element_at(known, F.shiftright(b, 6) + 1), b.bitwiseAND(63)) == 1
-    return F.filter(words, lambda w: has(_bits(w)[0]) & has(_bits(w)[1]))
+    flags, n_bits = known
+    has = lambda b: F.getbit(F.element_at(flags, F.shiftright(b, 6) + 1), b.bitwiseAND(63)) == 1
+    return F.filter(words, lambda w: has(_bits(w, n_bits)[0]) & has(_bits(w, n_bits)[1]))
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +158,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     based = rows.select("doc_id", "text", *[_base(k, F.col("text")).alias(k) for k in KINDS])
     any_span = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    none = F.array().cast("array<struct<start: int, end: int, match: string>>")
+    none = F.array().cast(_SPANS)
     entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda s: s["match"]))
     having = checkpointed(based.where(any_span).select(F.monotonically_increasing_id().alias("row"), "text", entities.alias("entities")))
 
@@ -163,18 +198,35 @@ def listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*parts), ",")
 
 
+def _chunks(text: Column) -> Column:
+    """A text in chunks of PART code points, so that pieces of it are found
+    without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text in chunks."""
+    i, j = F.floor(start / PART).cast("int"), F.floor(end / PART).cast("int")
+    from_, to = start % PART, end % PART
+    last = F.coalesce(F.substring(F.get(chunks, j), F.lit(1), to), F.lit(""))
+    apart = F.concat(F.coalesce(F.substring(F.get(chunks, i), from_ + 1, F.lit(PART)), F.lit("")), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), last)
+    return F.when(end <= start, "").when(i == j, F.substring(F.get(chunks, i), from_ + 1, end - start)).otherwise(apart)
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, clean_text) of the documents with spans or terms: base spans generalised
-    to ``[kind]``, disclosing terms removed."""
+    to ``[kind]``, disclosing terms removed.  Of spans that overlap the first
+    one's name stands for all."""
     found = find_personal_data(docs, id_col=id_col, text_col=text_col, **options).where("text is not null")
     by = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]" if k != "term" else "").alias("by"))
-    tagged = F.concat(*[F.transform(F.col(k), by(k)) for k in (*KINDS, "term")])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    tagged = F.array_sort(F.concat(*[F.transform(F.col(k), by(k)) for k in (*KINDS, "term")]))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        inside = s["start"] < a["at"]  # overlaps what has been replaced
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], gap, s["by"])).alias("out"))
+    def pieces(spans: Column) -> Column:
+        """Before each span what is between it and the end of all before it,
+        then its name, unless it overlaps one of those."""
+        shown = lambda c, e: F.transform(spans, lambda s, i: F.when(s["start"] < F.get(e, i), F.lit("")).otherwise(F.concat(_piece(c, F.get(e, i), s["start"]), s["by"])))
+        rest = lambda c, e: F.array(_piece(c, F.element_at(e, F.lit(-1)), F.length("text")))
+        ends = _folded(F.transform(spans, lambda s: s["end"]), 0, F.greatest)
+        return _let(_chunks(F.col("text")), lambda c: _let(ends, lambda e: F.array_join(F.concat(shown(c, e), rest(c, e)), "")))
 
-    done = F.aggregate(F.array_sort(tagged), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.select("doc_id", done.alias("clean_text"))
+    return found.select("doc_id", _let(tagged, pieces).alias("clean_text"))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
-from .packs import checkpointed
+from .packs import checkpointed, shared_folder
 
+#: A public tokenizer's ranks on this machine; an argument everywhere else.
+RANKS, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -33,12 +35,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as one insert batch, committed twice."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    rollup = token_counts.Rollup(spark, f"{folder}/token-rollup-{uuid.uuid4().hex}")
-    batch = checkpointed(token_counts.delta(inserted=_table(spark, sf_dir, "documents")))
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
+    batch = checkpointed(token_counts.delta(inserted=_table(spark, sf_dir, "documents"), ranks=RANKS, version=VERSION))
     for _ in range(2):
         rollup.commit("load", batch)
-    return rollup.totals()
+    totals = checkpointed(rollup.totals())  # a row for each source, language and version
+    rollup.drop()
+    return totals
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +117,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def _op9_sql() -> str:
-    bounded = lambda terms: f"'(^|[^a-z0-9])({'|'.join(terms)})([^a-z0-9]|$)'"
-    strict = f"regexp_matches(u, {bounded(url_filter.STRICT)})"
-    soft = " + ".join(f"CAST(regexp_matches(u, {bounded([t])}) AS INT)" for t in url_filter.SOFT)
+    strict = "|".join(t for t, w in url_filter.VOCABULARY if w >= url_filter.LIMIT)
+    soft = [t for t, w in url_filter.VOCABULARY if w < url_filter.LIMIT]
+    has = lambda terms: f"regexp_matches(u, '(^|[^a-z0-9])({terms})([^a-z0-9]|$)')"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     return f"""
 WITH a AS (SELECT page_id, url, {_LOWER.format("coalesce(url, '')")} AS u, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -124,7 +127,7 @@ b AS (SELECT page_id, u, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS
 r AS (SELECT * FROM (VALUES {rules}) AS t(verdict, rhost, rpath)),
 f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost) * 1000 + length(rpath)) AS rule, arg_max(verdict, length(rhost) * 1000 + length(rpath)) AS verdict
       FROM b, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT b.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN {strict} OR {soft} >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT b.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN {has(strict)} OR {" + ".join(f"CAST({has(t)} AS INT)" for t in soft)} >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM b LEFT JOIN f USING (page_id)
 """
 

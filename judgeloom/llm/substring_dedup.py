@@ -6,26 +6,29 @@ share ``min_words`` words, an anchor of ``min_words - PERIOD + 1`` words starts
 at a cover position in both, inside the shared passage.  Only anchors are
 hashed for all of the corpus (19 % of the positions); each anchor that two
 documents share is then extended: every window of min_words around it is hashed
-to 96 bits and compared by content, and windows that start in a document with a
-smaller id mark their words.
+to 96 bits and compared, and windows that start in a document with a smaller id
+mark their words.  Whole copies of an earlier document are told by SHA-256
+(128 bits of it) and aren't extended.
 
 Results for odd inputs: a null or empty text has no words and a row with zeros
 and an empty kept text; a null id sorts after all others and stays null; rows
 with the same id never remove words of each other; repeated rows of another id
-count as further documents; an empty table gives an empty table; other columns
-are ignored.
+count as further documents; different texts under one id are one document's; an empty
+table gives an empty table; other columns are ignored.  A long text needs some
+twenty bytes of memory for each of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import hashing as H
 from . import packs as P
-from .rolling import Rolling
 
 #: Perfect difference sets: every residue is a difference of two members.
 COVERS = {31: (0, 1, 3, 8, 12, 18), 13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
@@ -63,17 +66,26 @@ class _Words:
         n = len(self.starts)
         self.place = np.arange(n) - self.first[self.doc] if n else np.zeros(0, np.int64)
         self.left = self.count[self.doc] - self.place if n else np.zeros(0, np.int64)
+        self._codes: dict[int, np.ndarray] = {}
 
-    def hashes(self, rolling: Rolling, at: np.ndarray, width: int) -> np.ndarray:
-        return rolling.of(self.starts[at], self.ends[at + width - 1])
+    def codes(self, family: int = 0) -> np.ndarray:
+        """A code for each word."""
+        if family not in self._codes:
+            self._codes[family] = H.Bytes(self.pack.buf).ranges(self.starts, self.ends - self.starts, family)
+        return self._codes[family]
 
+    def windows(self, width: int, family: int = 0) -> np.ndarray:
+        """A hash for each ``width`` words, by the first; some reach into the
+        next document."""
+        return H.windows(self.codes(family), width)
 
-def _copies(w: _Words, one: Rolling, two: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def _copies(w: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Long documents by digest: sorted distinct digests (key, check), their
     smallest id, and for every long document its digest's place and itself."""
     docs = np.flatnonzero(w.count >= w.min_words)
-    s, e = w.pack.starts[docs], w.pack.ends[docs]
-    key, check = one.of(s, e), two.of(s, e)
+    digests = [hashlib.sha256(w.pack.buf[s:e]).digest()[:16] for s, e in zip(w.pack.starts[docs].tolist(), w.pack.ends[docs].tolist(), strict=True)]
+    key, check = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2).T
     order = np.lexsort((check, key))
     key, check, docs = key[order], check[order], docs[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]) if len(key) else np.zeros(0, bool)
@@ -82,14 +94,14 @@ def _copies(w: _Words, one: Rolling, two: Rolling) -> tuple[np.ndarray, np.ndarr
     return key[edges], check[edges], smallest, np.cumsum(new) - 1, docs
 
 
-def _anchors(w: _Words, one: Rolling, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(w: _Words, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct anchors as twice the hash plus whether two documents of
     the pack have it; for every anchor its place there; where it is."""
     width = w.min_words - period + 1
     cover = np.zeros(period, bool)
     cover[list(COVERS[period])] = True
     at = np.flatnonzero(cover[w.place % period] & (w.left >= width) & (w.count[w.doc] >= w.min_words))
-    h = w.hashes(one, at, width) | np.uint64(1)
+    h = w.windows(width)[at] | np.uint64(1)
     keys, where = np.unique(h, return_inverse=True)
     low = np.full(len(keys), len(w.count), np.int64)
     high = np.zeros(len(keys), np.int64)
@@ -99,12 +111,11 @@ def _anchors(w: _Words, one: Rolling, period: int) -> tuple[np.ndarray, np.ndarr
 
 
 
-
-def _windows(w: _Words, one: Rolling, two: Rolling, at: np.ndarray):
+def _windows(w: _Words, at: np.ndarray):
     """Candidate windows: sorted distinct (key, check), the smallest id that
     has it, and for every window its place and itself."""
-    key = w.hashes(one, at, w.min_words)
-    check = w.hashes(two, at, w.min_words) >> np.uint64(32)
+    key = w.windows(w.min_words, 0)[at]
+    check = w.windows(w.min_words, 1)[at] >> np.uint64(32)
     order = np.lexsort((check, key))
     key, check, at = key[order], check[order], at[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]) if len(key) else np.zeros(0, bool)
@@ -140,13 +151,12 @@ def _state(pack: P.Pack, min_words: int, period: int, n_buckets: int):
     """What is known after the first exchange: copies of earlier documents, and
     the candidate windows of all others."""
     w = _Words(pack, min_words)
-    one, two = Rolling(pack.buf, 0), Rolling(pack.buf, 1)
     copy = np.zeros(len(pack.ids), bool)
-    key, check, smallest, place, docs = _copies(w, one, two)
+    key, check, smallest, place, docs = _copies(w)
     earlier = P.replied(pack, COPIES, n_buckets, key).astype(bool)
     if len(docs):
         copy[docs] = earlier[place] | (smallest[place] < pack.ids[docs])
-    keys, where, at = _anchors(w, one, period)
+    keys, where, at = _anchors(w, period)
     shared = at[P.replied(pack, ANCHORS, n_buckets, keys)[where] > 0] if len(at) else at
     marks = np.zeros(len(w.starts) + period + 1, np.int32)
     marks[shared] = 1
@@ -154,7 +164,7 @@ def _state(pack: P.Pack, min_words: int, period: int, n_buckets: int):
     n = len(w.starts)
     near = before[period : period + n] > before[:n]
     at = np.flatnonzero(near & (w.left >= min_words) & ~copy[w.doc]) if n else np.zeros(0, np.int64)
-    return w, copy, _windows(w, one, two, at)
+    return w, copy, _windows(w, at)
 
 
 def remove_repeated_passages(docs: DataFrame, min_words: int = 50, period: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,21 +175,18 @@ def remove_repeated_passages(docs: DataFrame, min_words: int = 50, period: int |
     packs = P.pack(docs, P.words_text, id_col, text_col)
     n_buckets = P.bucket_count(packs)
 
-    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
-            w = _Words(pack, min_words)
-            one, two = Rolling(pack.buf, 0), Rolling(pack.buf, 1)
-            key, check, smallest, _, _ = _copies(w, one, two)
-            rows = [*P.requests(pack.pack_id, ANCHORS, n_buckets, _anchors(w, one, period)[0]), *P.requests(pack.pack_id, COPIES, n_buckets, key, check, smallest)]
-            yield P.request_batch(rows)
-
-    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
-            key, check, smallest, _, _ = _state(pack, min_words, period, n_buckets)[2]
-            yield P.request_batch(list(P.requests(pack.pack_id, WINDOWS, n_buckets, key, check, smallest)))
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
+    def ask_anchors(pack: P.Pack) -> Iterator[P.Request]:
+        w = _Words(pack, min_words)
+        key, check, smallest, _, _ = _copies(w)
+        yield from P.requests(ANCHORS, n_buckets, _anchors(w, period)[0])
+        yield from P.requests(COPIES, n_buckets, key, check, smallest)
+
+    def ask_windows(pack: P.Pack) -> Iterator[P.Request]:
+        key, check, smallest, _, _ = _state(pack, min_words, period, n_buckets)[2]
+        return P.requests(WINDOWS, n_buckets, key, check, smallest)
+
+    def remove(packs: Iterator[P.Pack]) -> Iterator[pa.RecordBatch]:
+        for pack in packs:
             w, copy, (key, _, smallest, place, at) = _state(pack, min_words, period, n_buckets)
             gone = np.zeros(len(w.starts), bool)
             if len(at):
@@ -200,6 +207,6 @@ def remove_repeated_passages(docs: DataFrame, min_words: int = 50, period: int |
                 kept.append(text)
             yield pa.RecordBatch.from_arrays([P.ids_out(pack.ids), pa.array(w.count), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    first = P.exchange(packs.mapInArrow(ask_anchors, P.REQUEST_SCHEMA), _answer)
-    second = P.exchange(P.with_replies(packs, first).mapInArrow(ask_windows, P.REQUEST_SCHEMA), _answer)
-    return P.with_replies(packs, first, second).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    first = P.exchange(P.requested(packs, ask_anchors), _answer)
+    second = P.exchange(P.requested(packs, ask_windows, first), _answer)
+    return P.finished(packs, remove, "doc_id long, n_words long, n_removed long, kept_text string", first, second)

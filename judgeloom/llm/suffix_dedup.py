@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import packs as P
-from .rolling import Rolling, mix, sliding_min
+from .hashing import Bytes, mix, sliding_min
 
 #: Bytes that a landmark is chosen by.
 SAMPLE = 16
@@ -79,7 +79,7 @@ def _runs(pack: P.Pack, plan: _Plan) -> _Runs:
     for s in range(0, max(0, n - plan.length + 1), PIECE):
         e = min(s + PIECE, n - plan.length + 1)
         part = pack.buf[s : e + plan.length - 1]
-        g = Rolling(part, 0).every(plan.sample)
+        g = Bytes(part).every(plan.sample)
         g &= np.uint64(~((1 << 24) - 1) & ((1 << 64) - 1))
         g |= np.arange(len(g), dtype=np.uint64)
         mark = (sliding_min(g, plan.span)[: e - s] & np.uint64((1 << 24) - 1)).astype(np.int64) + s
@@ -98,11 +98,10 @@ def _runs(pack: P.Pack, plan: _Plan) -> _Runs:
     return _Runs(*(np.concatenate(x) if x else none for x in (marks, lows, highs)))
 
 
-def _digits(runs: _Runs, block: int, plan: _Plan, one: Rolling, two: Rolling) -> tuple[np.ndarray, np.ndarray]:
+def _digits(runs: _Runs, block: int, plan: _Plan, text: Bytes) -> tuple[np.ndarray, np.ndarray]:
     b = runs.low // block
-    start = runs.mark - b * block
-    core = one.of(start, start - block + 1 + plan.length) if len(start) else np.zeros(0, np.uint64)
-    whole = two.of(runs.mark - runs.high, runs.mark - runs.low + plan.length) if len(start) else np.zeros(0, np.uint64)
+    core = text.ranges(runs.mark - b * block, np.full(len(b), plan.length - block + 1), 0)
+    whole = text.ranges(runs.mark - runs.high, runs.high - runs.low + plan.length, 1)
     salt = np.uint64(0x9E3779B97F4A7C15)
     core = mix(core + b.astype(np.uint64) * salt + np.uint64(block))
     whole = mix(whole + (runs.low * 65536 + runs.high).astype(np.uint64) * salt) & np.uint64((1 << 64) - 2)
@@ -148,11 +147,10 @@ def _answer(level: int, core: np.ndarray, b: list, c: list) -> np.ndarray:
 def _passes(pack: P.Pack, plan: _Plan, n_buckets: int, done: int):
     """Replays the passes that have been answered.  Gives the repeated runs and
     the digits that the next pass asks for (None after the last)."""
-    one, two = Rolling(pack.buf, 0), Rolling(pack.buf, 1)
-    runs, repeated = _runs(pack, plan), []
+    text, runs, repeated = Bytes(pack.buf), _runs(pack, plan), []
     for level, block in enumerate(plan.blocks):
         runs = runs.cut(block)
-        core, whole = _digits(runs, block, plan, one, two)
+        core, whole = _digits(runs, block, plan, text)
         keys, wholes, place, first = _combined(core, whole)
         if level == done:
             return repeated, (keys, wholes)
@@ -176,15 +174,14 @@ def remove_repeated_substrings(docs: DataFrame, length: int = 200, id_col: str =
     n_buckets = P.bucket_count(packs)
 
     def asking(level: int):
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for pack in P.opened(batches):
-                keys, wholes = _passes(pack, plan, n_buckets, level)[1]
-                yield P.request_batch(list(P.requests(pack.pack_id, level, n_buckets, keys, wholes)))
+        def ask(pack: P.Pack) -> Iterator[P.Request]:
+            keys, wholes = _passes(pack, plan, n_buckets, level)[1]
+            return P.requests(level, n_buckets, keys, wholes)
 
         return ask
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in P.opened(batches):
+    def remove(packs: Iterator[P.Pack]) -> Iterator[pa.RecordBatch]:
+        for pack in packs:
             steps = np.zeros(len(pack.buf) + 1, np.int32)
             for runs in _passes(pack, plan, n_buckets, len(plan.blocks))[0]:
                 np.add.at(steps, runs.mark - runs.high, 1)
@@ -203,5 +200,5 @@ def remove_repeated_substrings(docs: DataFrame, length: int = 200, id_col: str =
 
     replies: list[DataFrame] = []
     for level in range(len(plan.blocks)):
-        replies.append(P.exchange(P.with_replies(packs, *replies).mapInArrow(asking(level), P.REQUEST_SCHEMA), _answer))
-    return P.with_replies(packs, *replies).mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        replies.append(P.exchange(P.requested(packs, asking(level), *replies), _answer))
+    return P.finished(packs, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *replies)

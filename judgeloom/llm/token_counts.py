@@ -3,16 +3,17 @@
 Each commit turns inserted, deleted and revised documents into additive totals
 by source, language and tokenizer version: inserts add, deletes subtract, a
 revision subtracts what was and adds what is.  A batch is stored under its own
-id, so committing it again replaces it and totals don't change; totals are the
-sums over all batches, and ``compact`` folds batches into a base without changing
-them.
+id, and the first commit of an id counts: once more changes nothing.  Totals are
+the sums over all batches, and ``compact`` folds batches into a base without
+changing them.
 
 The tokenizer's ranks are read from a path that every executor has.
 
 Results for odd inputs: a null or empty text has no tokens but counts as a
 document; null sources and languages are groups of their own; repeated rows
-count each time; an empty batch commits nothing; groups whose documents and
-tokens are both zero are left out of the totals; other columns are ignored.
+count each time; an empty batch takes its id and adds nothing; a batch id may
+hold any characters; groups whose documents and tokens are both zero are left
+out of the totals; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ import base64
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-VERSION = "byte_bpe_50k"
 # Fixed value: the public pre-tokenizer pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -44,7 +44,7 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(docs: DataFrame, ranks: str = RANKS, version: str = VERSION, pattern: str = PATTERN, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def count_tokens(docs: DataFrame, ranks: str, version: str, pattern: str = PATTERN, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(source, lang, tokenizer, n_tokens) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,8 @@ class Rollup:
     all batches listed in ``base=<n>/ids``.  Only the newest base counts, with
     the batches that it doesn't list.  Both appear by one rename of a finished
     folder, and what a newer base replaces is removed after that, so a writer
-    that dies at any point leaves the totals as they were before or after."""
+    that dies at any point leaves the totals as they were before or after.  One
+    writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -97,10 +98,11 @@ class Rollup:
         fs.delete(path, True)
 
     def _publish(self, unfinished: str, name: str) -> None:
+        """Renames a finished folder; what is published already stays."""
         fs, target = self._fs(name)
-        if fs.exists(target):  # the same batch again
-            fs.delete(target, True)
-        if not fs.rename(self._fs(unfinished)[1], target):
+        if fs.exists(target):
+            self._remove(unfinished)
+        elif not fs.rename(self._fs(unfinished)[1], target):
             raise OSError(f"Could not publish {name}")
 
     def _base(self) -> int | None:
@@ -116,15 +118,16 @@ class Rollup:
 
     def commit(self, batch_id: str, rows: DataFrame) -> None:
         """Stores a batch's delta; once more is the same as once."""
-        if self.is_folded(batch_id):
+        name = f"batch={quote(batch_id, safe='')}"
+        if name.removeprefix("batch=") in self._names("batch=") or self.is_folded(batch_id):
             return
         unfinished = f"unfinished-{uuid.uuid4().hex}"
         rows.select(*_GROUP, "n_docs", "n_tokens").write.parquet(f"{self.path}/{unfinished}")
-        self._publish(unfinished, f"batch={batch_id}")
+        self._publish(unfinished, name)
 
     def batches(self) -> list[str]:
         """Ids of the batches that no base lists."""
-        names, folded = sorted(self._names("batch=")), self._folded()
+        names, folded = sorted(map(unquote, self._names("batch="))), self._folded()
         if folded is None or not names:
             return names
         known = {r["id"] for r in folded.where(F.col("id").isin(names)).collect()}  # among the few that are there
@@ -136,10 +139,8 @@ class Rollup:
 
     def _totals(self, batches: list[str]) -> DataFrame:
         base = self._base()
-        paths = [f"{self.path}/batch={b}" for b in batches] + ([] if base is None else [f"{self.path}/base={base}/totals"])
-        rows = self.spark.createDataFrame([], _STATE)
-        for path in paths:
-            rows = rows.unionByName(self.spark.read.schema(_STATE).parquet(path))
+        paths = [f"{self.path}/batch={quote(b, safe='')}" for b in batches] + ([] if base is None else [f"{self.path}/base={base}/totals"])
+        rows = self.spark.read.schema(_STATE).parquet(*paths) if paths else self.spark.createDataFrame([], _STATE)
         sums = rows.groupBy(*_GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
@@ -159,8 +160,13 @@ class Rollup:
         those that a dead writer left."""
         live, base = set(self.batches()), self._base()
         for b in self._names("batch="):
-            if b not in live:
+            if unquote(b) not in live:
                 self._remove(f"batch={b}")
         for n in map(int, self._names("base=")):
             if base is not None and n < base:
                 self._remove(f"base={n}")
+
+    def drop(self) -> None:
+        """Removes the folder with all that it holds."""
+        fs, root = self._fs()
+        fs.delete(root, True)

@@ -40,8 +40,6 @@ from . import packs as P
 
 #: Labelled rows learned from at most: the first by a hash of doc_id.
 MAX_TRAINING = 24_000
-#: Terms kept at most, words and stems together.
-MAX_TERMS = 300
 MIN_CONTEXTS, STEM = 4, (4, 6)
 #: Share of toxic rows among a term's labelled rows.
 MIN_PRECISION = 0.97
@@ -230,19 +228,6 @@ def quoted(raw: bytes, low: bytes, begin: int, start: int, end: int, stop: int)
     return bool(_REPORTED.search(low[max(begin, start - WINDOW // 2) : start]))
 
 
-def portions(column: pa.Array, most: int = P.PACK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
-    begin, texts, size = 0, [], 0
-    for i, value in enumerate(column):
-        text = value.as_py() or b""
-        if texts and size + len(text) > most:
-            yield begin, i, texts
-            begin, texts, size = i, [], 0
-        texts.append(text)
-        size += len(text)
-    if texts:
-        yield begin, begin + len(texts), texts
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that labels aren't learned from: CRC-32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -289,14 +274,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     ratio = (known_by.get(0, 0) / max(1, totals.get(0, 0))) / (known_by[1] / totals[1])
     counts = rows.mapInArrow(_evidence, "term binary, stem boolean, toxic int, context long").groupBy("term", "stem").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"), F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("contexts"))
     precise = F.col("bad") / (F.col("bad") + F.lit(ratio) * F.col("good"))
-    terms = counts.where((F.col("contexts") >= MIN_CONTEXTS) & (precise >= MIN_PRECISION)).orderBy(F.desc("contexts"), "term", "stem").limit(20 * MAX_TERMS).collect()
+    terms = counts.where((F.col("contexts") >= MIN_CONTEXTS) & (precise >= MIN_PRECISION)).collect()  # some of the words of the sample
     lexicon = _chosen([(bytes(r["term"]), r["stem"], r["contexts"]) for r in terms])
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(lexicon))
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(0).to_pylist()
-            for s, _, texts in portions(batch.column(1)):
+            for s, _, texts in P.portions(batch.column(1)):
                 found = sorted({(t, term, stem, distance) for t, term, stem, distance, _ in scanner.value.hits(texts)})
                 yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.bool_()), pa.array([f[3] for f in found], pa.int32()), pa.array([toxic[s + f[0]] for f in found], pa.int32())], names=["term", "stem", "distance", "toxic"])
 
@@ -323,9 +308,7 @@ def _chosen(terms: list[tuple[bytes, bool, int]]) -> Lexicon:
             stems[t] = n
     left = {w: n for w, n in words.items() if not any(w.startswith(s) for s in stems)}
     covered = {w: s for w in words if len(w) >= FUZZY_LENGTH for s in stems if len(s) < FUZZY_LENGTH and w.startswith(s)}
-    best = sorted([*((n, w, False) for w, n in left.items()), *((n, s, True) for s, n in stems.items())], key=lambda x: (-x[0], x[1]))[:MAX_TERMS]
-    kept = {t for _, t, stem in best if stem}
-    return Lexicon(sorted(t for _, t, stem in best if not stem), sorted(kept), covered={w: s for w, s in covered.items() if s in kept})
+    return Lexicon(sorted(left), sorted(stems), covered=covered)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +317,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e, texts in portions(batch.column(1)):
+            for s, e, texts in P.portions(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(scanner.value.scores(texts))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -349,7 +332,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for s, e, texts in portions(batch.column(place).cast(pa.binary())):
+            for s, e, texts in P.portions(batch.column(place).cast(pa.binary())):
                 keep[s:e] = scanner.value.scores(texts) < threshold
             yield batch.filter(pa.array(keep))
 

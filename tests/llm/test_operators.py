@@ -9,6 +9,7 @@ import pytest
 
 from judgeloom.llm import components, decontaminate, exact_dedup, jaccard_join, mixing, pii, queries, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
+BPE = {"ranks": queries.RANKS, "version": queries.VERSION}
 SCHEMA = "doc_id long, text string, source string, lang string, row long, size long, key string"
 
 
@@ -89,10 +90,10 @@ def test_cuckoo_filter_grows_and_deletes():
     for i, d in enumerate(digests):
         index.insert(d, 1, (True, i, 0))
     assert index.resized and index.size == 3000 and all(index.find(d, 1) for d in digests)
-    for d in digests[:1500]:
-        assert index.delete(d, 1)
+    for i, d in enumerate(digests[:1500]):
+        assert index.delete(d, 1, (True, i, 0))
     assert not any(index.find(d, 1) for d in digests[:1500]) and all(index.find(d, 1) for d in digests[1500:])
-    assert not index.delete(digests[0], 1)
+    assert not index.delete(digests[0], 1, (True, 0, 0))
 
 
 def test_drop_copies_of_one_id_by_case(spark):
@@ -131,10 +132,10 @@ def test_components_of_a_chain(spark):
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, " ".join("t%d" % i for i in range(20))), (2, "short item"), (3, None), (None, "zz yy"), (4, "")], "item_id long, text string")
     rows = [(1, "a b " + " ".join("T%d" % i for i in range(14)) + " c", "s"), (2, "Short, ITEM!", "s"), (3, None, "s"), (4, "nothing here", "s"), (5, "zz yy", "s"), (6, "", "s")]
-    for bound in (32 << 20, 20):
-        out = by_id(decontaminate.judged(decontaminate.find_overlaps(table(spark, rows), items, broadcast_bytes=bound)))
+    for bound in (1000, 0):
+        out = by_id(decontaminate.judged(decontaminate.find_overlaps(table(spark, rows), items, broadcast_grams=bound)))
         assert [(out[i]["n_words"], out[i]["n_hit"], out[i]["items"], out[i]["contaminated"]) for i in range(1, 7)] == [(17, 14, [1], True), (2, 2, [2], True), (0, 0, [], False), (2, 0, [], False), (2, 2, [], True), (0, 0, [], False)]
-        left = decontaminate.remove_contaminated(table(spark, rows), items, broadcast_bytes=bound)
+        left = decontaminate.remove_contaminated(table(spark, rows), items, broadcast_grams=bound)
         assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 6]
 
 
@@ -171,8 +172,8 @@ def test_apportionment_is_sainte_lague(spark):
 def test_decontamination_judges_rows_not_ids(spark):
     items = spark.createDataFrame([(1, " ".join("t%d" % i for i in range(20))), (2, "short item")], "item_id long, text string")
     rows = [(None, "short item", "s"), (None, "clean one", "s"), (7, "short item", "s"), (7, "clean two", "s"), (8, "short item", "s")]
-    for bound in (32 << 20, 20):
-        left = decontaminate.remove_contaminated(table(spark, rows), items, broadcast_bytes=bound)
+    for bound in (1000, 0):
+        left = decontaminate.remove_contaminated(table(spark, rows), items, broadcast_grams=bound)
         assert left.columns == table(spark, rows).columns
         assert sorted(r["text"] for r in left.collect()) == ["clean one", "clean two"]
 
@@ -275,13 +276,13 @@ def test_token_rollup(spark, tmp_path):
     r = token_counts.Rollup(spark, str(tmp_path / "r"))
     assert r.totals().count() == 0
     for _ in range(2):
-        r.commit("one", token_counts.delta(inserted=docs))
-    r.commit("two", token_counts.delta(deleted=docs.where("doc_id = 3"), revised=(docs.where("doc_id = 1"), table(spark, [(1, "hello", "a")]))))
+        r.commit("one", token_counts.delta(inserted=docs, **BPE))
+    r.commit("two", token_counts.delta(deleted=docs.where("doc_id = 3"), revised=(docs.where("doc_id = 1"), table(spark, [(1, "hello", "a")])), **BPE))
     want = {("a", 2, 1)}
     assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == want
     for _ in range(2):
         r.compact()
-        r.commit("one", token_counts.delta(inserted=docs))
+        r.commit("one", token_counts.delta(inserted=docs, **BPE))
         assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == want
     assert r.batches() == [] and r._names("base=") == ["1"]
 
@@ -289,7 +290,7 @@ def test_token_rollup(spark, tmp_path):
 def test_token_rollup_survives_a_dead_writer(spark, tmp_path, monkeypatch):
     docs = table(spark, [(1, "hello world", "a"), (2, "bye", "b")])
     r = token_counts.Rollup(spark, str(tmp_path / "r"))
-    r.commit("one", token_counts.delta(inserted=docs))
+    r.commit("one", token_counts.delta(inserted=docs, **BPE))
     want = set(map(tuple, r.totals().collect()))
 
     def die(*_):
@@ -300,14 +301,14 @@ def test_token_rollup_survives_a_dead_writer(spark, tmp_path, monkeypatch):
         with pytest.raises(RuntimeError):
             r.compact()
         with pytest.raises(RuntimeError):
-            r.commit("two", token_counts.delta(inserted=docs))
+            r.commit("two", token_counts.delta(inserted=docs, **BPE))
     assert set(map(tuple, r.totals().collect())) == want and r.batches() == ["one"]
     with monkeypatch.context() as m:  # after that, before the batches are gone
         m.setattr(r, "clean", die)
         with pytest.raises(RuntimeError):
             r.compact()
     assert set(map(tuple, r.totals().collect())) == want
-    r.commit("one", token_counts.delta(inserted=docs))
+    r.commit("one", token_counts.delta(inserted=docs, **BPE))
     assert set(map(tuple, r.totals().collect())) == want
     r.clean()
     assert r._names("batch=") == [] and set(map(tuple, r.totals().collect())) == want
@@ -316,7 +317,7 @@ def test_token_rollup_survives_a_dead_writer(spark, tmp_path, monkeypatch):
 def test_token_counts_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in queries.queries()["op4_token_counts"](spark, "/root/testdata/sf0.001").collect()}
-    enc, want = token_counts.encoding(token_counts.RANKS, token_counts.PATTERN), {}
+    enc, want = token_counts.encoding(queries.RANKS, token_counts.PATTERN), {}
     for r in docs.collect():
         n, t = want.get((r["source"], r["lang"]), (0, 0))
         want[r["source"], r["lang"]] = (n + 1, t + len(enc.encode_ordinary(r["text"] or "")))
