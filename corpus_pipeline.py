@@ -3,6 +3,12 @@
 Toxic documents go; of equal texts the row with the largest doc_id stays; of
 near copies (Jaccard of five-word shingles 0.75 or more) the smallest; documents
 contaminated by ``benchmark`` go; what is left is mixed by source weights.
+
+Results for odd inputs: null texts count as empty and aren't toxic, copies of
+anything but each other, or contaminated; rows are told apart by row numbers, so
+that ids may repeat or be null; with one id, the first row as stored counts as
+the smaller one; repeated rows are exact copies; an empty table gives an empty
+table; other columns stay until the mix.
 """
 
 from __future__ import annotations
@@ -10,10 +16,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from judgeloom.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
-from judgeloom.llm.packs import checkpointed
+from judgeloom.llm.packs import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.similar_components(docs)
-    extra = checkpointed(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_extra")))
-    return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
+    return jaccard_join.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +50,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each result written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-            docs_dir = f"{folder}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(docs_dir)
-            docs = spark.read.parquet(docs_dir)
-    return docs
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        before, written = written, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            _remove(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
