@@ -136,3 +136,15 @@ def fragment_penalty(fragment: Column, tokens: Column) -> Column:
     for cost, pattern in FRAGMENTS:
         out = out.when(bare.rlike(rf"(?iU)^(?:{pattern})\z"), cost)
     return out.otherwise(0.0)
+
+
+def shard_range(path: Column) -> tuple[Column, Column]:
+    """The first and the next-after-last record that a shard's file name gives."""
+    name = F.element_at(F.split(path, "/"), -1)
+    part = lambda k: F.regexp_extract(name, r"^batch_([0-9]+)_([0-9]+)\.[a-z]+$", k).cast("long")
+    return part(1), part(2)
+
+
+def listed(csv: Column) -> Column:
+    """Names between commas, each once, in order; blank ones not at all."""
+    return F.array_distinct(F.filter(F.transform(F.split(csv, ","), strip), lambda x: x != ""))

@@ -95,3 +95,20 @@ def soft_mode(p: Column, mode: str, temperature: float = 1.0) -> Column:
     if mode != "weighted":
         raise ValueError(mode)
     return norm(p)
+
+
+def perturbed(p: Column, unit: Callable[[Column], Column], scale: float, temperature: float) -> Column:
+    """(ln(p + 1e-10) + scale * g) / temperature, g Gumbel noise from a number
+    between 0 and 1 for each place."""
+    return F.transform(p, lambda x, k: (F.ln(x + 1e-10) - scale * F.ln(-F.ln(unit(k)))) / temperature)
+
+
+def normalised(row: Column) -> Column:
+    """A row that sums to one; a sum near zero counts as 1e-12."""
+    total = F.aggregate(row, F.lit(0.0), lambda a, x: a + x)
+    return let(F.greatest(total, F.lit(1e-12)), lambda t: F.transform(row, lambda x: x / t))
+
+
+def interleaved(tokens: Column, ends: Column, marker: Column) -> Column:
+    """Every chunk with a marker after it."""
+    return F.flatten(F.transform(ends, lambda e, i: let(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), lambda start: F.concat(F.slice(tokens, start + 1, e - start), F.array(marker)))))

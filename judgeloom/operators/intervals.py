@@ -34,3 +34,18 @@ def forbidden_cuts(overlaps: DataFrame, key: str, most: int = 10) -> DataFrame:
     """(key, cut): edges between tokens inside a span of 2 to ``most`` tokens."""
     wide = (F.col("hi") - F.col("lo")).between(2, most)
     return overlaps.where(wide).select(key, F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("cut")).distinct()
+
+
+def located(points: DataFrame, starts: DataFrame, key: str, name: str, block: int = 10_000) -> DataFrame:
+    """points with the greatest start at or before each; null before the first.
+
+    The axis is cut into blocks; within a block it is one sort, and only the
+    last start of each block passes through one task."""
+    of = lambda df, own: df.select(F.col(key).alias("x"), F.lit(own).alias("own"), F.floor(F.col(key) / block).alias("block"))
+    rows = of(points, 1).unionAll(of(starts, 0))
+    last = of(starts, 0).groupBy("block").agg(F.max("x").alias("last"))
+    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.select("block").distinct().join(last, "block", "left").select("block", F.last("last", ignorenulls=True).over(w).alias("carry"))
+    before = Window.partitionBy("block").orderBy("x", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("found", F.last(F.when(F.col("own") == 0, F.col("x")), ignorenulls=True).over(before))
+    return found.where("own = 1").join(carried, "block").select(F.col("x").alias(key), F.coalesce("found", "carry").alias(name))

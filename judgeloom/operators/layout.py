@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,12 +51,13 @@ def prefix_budget(most: int, *fixed: Column) -> Column:
     return left
 
 
-def prefix_view(prefix: Column, explicit: Column, ends: Column, frontier: Column, left: list[int], right: list[int], fill: int) -> tuple[Column, Column]:
+def prefix_view(prefix: Column, explicit: Column, ends: Column, frontier: Column, left: list[int], right: list[int], fill: int, latents: bool = True) -> tuple[Column, Column]:
     """(input ids, labels) of a record up to one of its frontiers: prefix and
-    left marker, a place for each latent, then the explicit tokens as targets."""
+    left marker, a place for each latent (without any, the prompt alone), then
+    the explicit tokens as targets."""
     mark = lambda ids: F.array(*map(F.lit, ids))
     target = F.concat(F.slice(explicit, F.lit(1), F.get(ends, frontier - 1)), mark(right))
-    start = F.concat(prefix, mark(left), F.array_repeat(F.lit(fill), frontier))
+    start = F.concat(prefix, mark(left), F.array_repeat(F.lit(fill), frontier)) if latents else F.concat(prefix, mark(left))
     return F.concat(start, target), F.concat(F.array_repeat(F.lit(IGNORED), F.size(start)), target)
 
 
@@ -88,3 +89,39 @@ def first_units(rows: DataFrame, unit: str, most: int) -> DataFrame:
     ids kept are at most ``most``."""
     kept = rows.select(F.col(unit).alias("_unit")).distinct().orderBy("_unit").limit(most)
     return rows.join(F.broadcast(kept), F.col(unit) == F.col("_unit"), "left_semi")
+
+
+def packed(rows: DataFrame, index: str, values: str, size: int) -> DataFrame:
+    """(shard, first, values, offsets): the sequences of ``size`` records in one
+    array, record r at offsets[r] to offsets[r + 1]."""
+    shard = F.floor(F.col(index) / size)
+    held = rows.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(values).alias("v")))).alias("r"))
+    offsets = F.aggregate("r", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + F.size(x["v"]))))
+    return held.select("shard", F.col("r.i").alias("records"), F.flatten(F.col("r.v")).alias("values"), offsets.alias("offsets"))
+
+
+def unpacked(shards: DataFrame) -> DataFrame:
+    """(record_index, t) of packed shards."""
+    rows = shards.select("values", "offsets", F.posexplode("records").alias("r", "record_index"))
+    start = F.get("offsets", F.col("r"))
+    return rows.select("record_index", F.slice("values", start + 1, F.get("offsets", F.col("r") + 1) - start).alias("t"))
+
+
+def flattened(parts: DataFrame, batch: str, part: str, results: str) -> DataFrame:
+    """(batch, place, r): the results of a batch's parts one after another, by
+    the parts' order; ``parts`` has n, the number of results of each."""
+    before = Window.partitionBy(batch).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = rows.select(batch, "_before", F.posexplode(results).alias("_at", "r"))
+    return rows.select(batch, (F.col("_before") + F.col("_at")).cast("int").alias("place"), "r")
+
+
+#: Kinds of tokens in a mask.
+PLAIN, PADDING, SPECIAL = 0, 1, 2
+
+
+def mask_row(kinds: Column, position: Column, own: Column) -> Column:
+    """Which tokens a position attends to: none if it is padding, otherwise
+    itself and the earlier plain ones."""
+    seen = lambda k, j: (j <= position) & (own != PADDING) & (k != PADDING) & ((j == position) | (k != SPECIAL))
+    return F.transform(kinds, lambda k, j: seen(k, j).cast("int"))

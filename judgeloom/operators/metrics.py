@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
+
 # Example weights of evaluation subsets, and their sections.
 WEIGHTS = {
     "alpacaeval-easy": 100, "alpacaeval-length": 95, "alpacaeval-hard": 95, "mt-bench-easy": 28, "mt-bench-med": 40, "mt-bench-hard": 37,
@@ -100,3 +104,156 @@ def scoped_loss(rows: DataFrame, position: str, loss: str, starts_chunk: Column)
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(name).alias("scope"), f"{name}.*") for name in scopes])).alias("s")).select("s.*")
     nll = F.coalesce("sum", F.lit(0.0)) / F.greatest("tokens", F.lit(1))
     return long.select("scope", "tokens", nll.alias("nll"), F.exp(F.least(nll, F.lit(20.0))).alias("perplexity"))
+
+
+def token_totals(rows: DataFrame, key: str, count: Column) -> DataFrame:
+    """Totals by key of what an expression counts in a row; null counts for
+    nothing."""
+    return rows.groupBy(key).agg(F.sum(count).alias("tokens"), F.count("*").alias("rows"))
+
+
+def pair_grid(rows: DataFrame, prompt: str, chosen: str, rejected: str, n_chosen: str, n_rejected: str) -> DataFrame:
+    """(prompt, pairs, duplicates, missing): the pairs that a prompt's grid of
+    chosen and rejected responses lacks, and those it has more than once."""
+    by = rows.groupBy(prompt, chosen, rejected).agg(F.count("*").alias("_n"), F.max(n_chosen).alias("_c"), F.max(n_rejected).alias("_r"))
+    inside = (F.col(chosen) < F.col("_c")) & (F.col(rejected) < F.col("_r")) & (F.col(chosen) >= 0) & (F.col(rejected) >= 0)
+    grid = F.max(F.col("_c") * F.col("_r"))
+    return by.groupBy(prompt).agg(F.count("*").alias("pairs"), F.count_if(F.col("_n") > 1).alias("duplicates"), (grid - F.count_if(inside)).alias("missing"))
+
+
+def missing_cells(rows: DataFrame, prompt: str, chosen: str, rejected: str, n_chosen: str, n_rejected: str) -> DataFrame:
+    """(prompt, chosen, rejected) of the cells that a grid lacks."""
+    sizes = rows.groupBy(prompt).agg(F.max(n_chosen).alias("_c"), F.max(n_rejected).alias("_r"))
+    cells = sizes.where("_c > 0 and _r > 0").select(prompt, F.explode(F.sequence(F.lit(0), F.col("_c").cast("int") - 1)).alias(chosen), "_r").select(prompt, chosen, F.explode(F.sequence(F.lit(0), F.col("_r").cast("int") - 1)).alias(rejected))
+    return cells.join(rows.select(prompt, F.col(chosen).cast("int").alias(chosen), F.col(rejected).cast("int").alias(rejected)).distinct(), [prompt, chosen, rejected], "left_anti")
+
+
+def prefix_means(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """(kind, samples, score): means by what stands before the first colon."""
+    return rows.groupBy(F.substring_index(key, ":", 1).alias("kind")).agg(F.count("*").alias("samples"), F.avg(value).alias("score"))
+
+
+def by_group(rows: DataFrame, group: str, expected: dict[str, int]) -> DataFrame:
+    """(direction, group, samples, correct, invalid, accuracy, complete): each
+    direction as a whole (group null) and by group; complete says whether the
+    groups have as many rows as expected, which only the whole can."""
+    direction = F.when(F.col("exchange"), "reverse").otherwise("forward").alias("direction")
+    cube = rows.withColumn("_d", direction).groupingSets([["_d"], ["_d", group]], "_d", group)
+    found = cube.agg(F.count("*").alias("samples"), F.count_if("correct").alias("correct"), F.count_if(F.col("prediction").isNull()).alias("invalid"), accuracy().alias("accuracy"), F.grouping(group).alias("_all"), *[F.count_if(F.col(group) == g).alias(f"_n{k}") for k, g in enumerate(expected)])
+    whole = F.col("samples") == sum(expected.values())
+    for k, n in enumerate(expected.values()):
+        whole = whole & (F.col(f"_n{k}") == n)
+    return found.select(F.col("_d").alias("direction"), group, "samples", "correct", "invalid", "accuracy", F.when(F.col("_all") == 1, whole).alias("complete"))
+
+
+def headline(scores: DataFrame, names: list[str]) -> DataFrame:
+    """(name, forward, reverse, average) of headline scores from scores(direction,
+    name, score): a direction that there isn't stays null, and an average takes
+    the names that both have, or all of the only one."""
+    of = lambda way: F.max(F.when(F.col("direction") == way, F.col("score")))
+    by = scores.where(F.col("name").isin(names)).groupBy("name").agg(of("forward").alias("forward"), of("reverse").alias("reverse"))
+    sides = scores.agg(F.count_distinct("direction").alias("sides"))
+    mean = F.when(F.col("sides") == 2, (F.col("forward") + F.col("reverse")) / 2).otherwise(F.coalesce("forward", "reverse"))
+    return by.join(F.broadcast(sides)).select("name", "forward", "reverse", mean.alias("average"))  # one row
+
+
+def criterion_report(gold: DataFrame, told: DataFrame, keys: list[str], record: str, labels: list[str]) -> DataFrame:
+    """One row of what gold(keys, gold) and told(keys, told) statuses agree on.
+    A missing answer is wrong, an answer to nothing counts for nothing; a record
+    is exact if all of its gold statuses are there and answered right."""
+    rows = gold.join(told.withColumn("_answered", F.lit(True)), keys, "left")
+    right = F.coalesce(F.col("gold") == F.col("told"), F.lit(False))
+    by = rows.groupBy(record).agg(
+        F.count("*").alias("criteria"), F.count("gold").alias("labels"), F.count_if(F.col("_answered")).alias("answered"), F.count_if(F.col("gold").isNotNull() & F.col("told").isNotNull()).alias("covered"), F.count_if(right).alias("right"),
+        *[F.count_if(c).alias(f"_{kind}{k}") for k, x in enumerate(labels) for kind, c in (("tp", right & (F.col("gold") == x)), ("fp", (F.col("told") == x) & (F.col("gold") != x)), ("fn", (F.col("gold") == x) & ~right))])
+    full = F.col("criteria") == F.col("labels")
+    sums = by.agg(
+        F.count("*").alias("records"), F.sum("criteria").alias("criteria"), F.sum("labels").alias("labels"), F.count_if(full).alias("full_records"), F.count_if(full & (F.col("right") == F.col("criteria"))).alias("exact"),
+        F.sum("answered").alias("answered"), F.sum("covered").alias("covered"), F.sum("right").alias("right"), *[F.sum(f"_{kind}{k}").alias(f"_{kind}{k}") for k in range(len(labels)) for kind in ("tp", "fp", "fn")])
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+
+    def f1(k: int) -> Column:
+        tp, fp, fn = (F.col(f"_{kind}{k}") for kind in ("tp", "fp", "fn"))
+        p, r = tp / F.greatest(tp + fp, F.lit(1)), tp / F.greatest(tp + fn, F.lit(1))
+        return 2 * p * r / F.greatest(p + r, F.lit(1e-12))
+
+    macro = f1(0)
+    for k in range(1, len(labels)):
+        macro = macro + f1(k)
+    return sums.select("records", "criteria", "labels", "full_records", share("covered", "labels").alias("coverage"), share("right", "labels").alias("accuracy"), (macro / len(labels)).alias("macro_f1"), share("exact", "full_records").alias("vector_exact"), share("answered", "criteria").alias("semantic_coverage"))
+
+
+def generation_quality(rows: DataFrame, key: str) -> DataFrame:
+    """By key, from rows(prefix, aligned, f1, exact, predicted, target, whole):
+    means over examples, and ratios of totals (whole is the target's length
+    before it is cut off)."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    total = lambda c: F.greatest(F.sum(c), F.lit(1))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("examples"), (F.sum("prefix") / n).alias("mean_prefix"), (F.sum("aligned") / total("target")).alias("aligned_accuracy"), (F.sum("f1") / n).alias("token_f1"),
+        (F.sum(F.col("exact").cast("int")) / n).alias("exact_match"), (F.sum("predicted") / total("whole")).alias("length_ratio"), (F.sum("target") / total("whole")).alias("coverage"))
+
+
+def bag_f1(a: Column, b: Column) -> Column:
+    """F1 of two bags of tokens; one if both are empty, zero if one is."""
+    # the i-th of equal tokens meets the i-th: sorted, numbered by equal ones, intersected
+    runs = lambda xs: F.map_from_entries(F.transform(F.array_distinct(xs), lambda x: F.struct(x, F.size(F.filter(xs, lambda y: y == x)))))
+    shared = lambda ma, mb: F.aggregate(F.map_keys(ma), F.lit(0), lambda s, k: s + F.least(F.try_element_at(ma, k), F.coalesce(F.try_element_at(mb, k), F.lit(0))))
+    both = A.let(runs(a), lambda ma: A.let(runs(b), lambda mb: shared(ma, mb)))
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(empty, (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+
+
+def word_f1(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, candidate, reference) with the F1 of their words; a row's
+    words are counted where it is read, before anything is shuffled."""
+    tagged = lambda c, x: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("w"), F.lit(x).alias("x")))
+    words = rows.select("doc_id", F.explode(F.concat(tagged(F.col("candidate"), 1), tagged(F.col("reference"), 0))).alias("e"))
+    counts = words.groupBy("doc_id", "e.w").agg(F.sum("e.x").alias("a"), F.sum(1 - F.col("e.x")).alias("b"))
+    sums = counts.groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    f1 = F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(2.0 * F.col("both") / (F.col("na") + F.col("nb")))
+    return rows.join(sums.select("doc_id", f1.alias("f1")), "doc_id", "left")
+
+
+def semantic_scores(rows: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame] = word_f1) -> DataFrame:
+    """(key, criteria, covered, score): means of what a scorer gives for each
+    candidate and reference (a column f1), a missing candidate as zero."""
+    scored = scorer(rows)
+    there = F.col("candidate").isNotNull()
+    return scored.groupBy(key).agg(F.count("*").alias("criteria"), F.count_if(there).alias("covered"), (F.sum(F.when(there, F.coalesce("f1", F.lit(0.0))).otherwise(0.0)) / F.greatest(F.count("*"), F.lit(1))).alias("score"))
+
+
+def percent(x: Column) -> Column:
+    """In percent; null stays null."""
+    return x * 100
+
+
+def ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b)
+
+
+def nested_ceil(n: Column, *parts: Column) -> Column:
+    """n by each part after another, rounded up each time."""
+    for p in parts:
+        n = F.ceil(n / p)
+    return n.cast("long")
+
+
+def sorted_struct(entries: dict[str, Column]) -> Column:
+    return F.struct(*[entries[k].alias(k) for k in sorted(entries)])
+
+
+def signature(entries: dict[str, Column]) -> Column:
+    """SHA-256 of entries (as JSON texts) by their names in order."""
+    parts = [F.concat(F.lit(f'"{k}": '), entries[k]) for k in sorted(entries)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).cast("binary"), 256)
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; of keys that both have, the second's entry."""
+    rest = F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k))
+    return F.map_concat(rest, second)
+
+
+def without_keys(entries: Column, keys: list[str]) -> Column:
+    return F.map_filter(entries, lambda k, _: ~k.isin(keys))

@@ -10,6 +10,7 @@ from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import evidence, kernels, refine, traces
 
@@ -69,7 +70,9 @@ def plans(docs: DataFrame, tokenize: Tokenizer = pieces, id_col: str = "doc_id",
         for pdf in batches:
             found = [plan(text or "", tokenize) for text in pdf["text"]]
             columns = {name: pd.Series([p.get(name) for p in found], dtype="Int64" if kind == "int" else object) for name, kind in (f.split() for f in PLAN.split(", "))}
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **columns})
+            ids = pd.Series([None if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype="Int64")
+            yield pd.DataFrame({"doc_id": ids, **columns})
 
-    source = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").where("doc_id is not null")
+    # an id that may be null would come as a float, which rounds large ids
+    source = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     return traces.spread(source).mapInPandas(run, f"doc_id long, {PLAN}")

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arrays as A
-from ..operators import kernels
+from ..operators import blocks, kernels
 from ..operators.traces import spread
 from ..sources.tables import table
 from .registry import query
 
 
-
 @query("SELECT doc_id, array_to_string(CASE WHEN len(t) <= 16 THEN t ELSE t[1:8] || t[-8:] END, ' ') AS kept FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)")
 def head_tail_truncate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(A.head_tail(F.split(F.col("text"), " "), 16), " ").alias("kept"))
@@ -44,36 +43,31 @@ def topk_softmax(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", "rank", F.col("x.index").alias("index"), F.round("x.p", 6).alias("p"))
 
 
-@query("SELECT vec_id, 0.0 + round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS norm2 FROM embeddings")
-def vector_dot(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", (F.lit(0.0) + F.round(A.dot(F.col("embedding"), F.col("embedding")), 4)).alias("norm2"))
-
-
-@query("SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 4) + 0.0 AS mean FROM embeddings, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i) GROUP BY ALL")
-def weighted_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Mean vectors by label: exploded by dimension, summed before the shuffle."""
-    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
-    return rows.groupBy("label", "dim").agg((F.round(F.avg(F.col("v").cast("double")), 4) + 0.0).alias("mean"))
-
-
 @query("SELECT source, doc_id, CAST(n AS BIGINT) AS size, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ FROM (SELECT source, doc_id, len(string_split(text, ' ')) AS n FROM documents)")
 def pack_offsets(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = table(spark, d, "documents").select("source", "doc_id", F.size(F.split(F.col("text"), " ")).cast("long").alias("size"))
-    return rows.withColumn("offset_", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    return blocks.running(rows, "source", "doc_id", F.col("size"), "offset_")
 
 
-@query("SELECT doc_id, array_to_string(t[1:8] || ['<m>'] || t[9:16], ' ') AS marked FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)")
-def interleave_marker(spark: SparkSession, d: str) -> DataFrame:
-    t = F.split(F.col("text"), " ")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.concat(F.slice(t, 1, 8), F.array(F.lit("<m>")), F.slice(t, 9, 8)), " ").alias("marked"))
+_PADDED = 8
 
 
-@query("SELECT doc_id, array_to_string(t || list_transform(range(12 - len(t)), lambda i: '_'), ' ') AS padded FROM (SELECT doc_id, string_split(text, ' ')[1:10] AS t FROM documents)")
+@query(f"""
+WITH t AS (SELECT doc_id, doc_id // {_PADDED} AS batch, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)) AS t FROM documents), m AS (SELECT batch, CAST(ceil(max(len(t)) / 8.0) * 8 AS INT) AS width FROM t GROUP BY batch)
+SELECT doc_id, width, sha256(array_to_string(t || list_transform(range(width - len(t)), lambda i: 0), ',')) AS ids_sha256, sha256(array_to_string(list_transform(range(width), lambda i: CASE WHEN i < len(t) THEN 1 ELSE 0 END), ',')) AS mask_sha256,
+  sha256(array_to_string(list_transform(range(width), lambda i: CASE WHEN i < len(t) THEN i ELSE 0 END), ',')) AS positions_sha256 FROM t JOIN m USING (batch)
+""")
 def pad_batch(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(A.pad_right(F.slice(F.split(F.col("text"), " "), 1, 10), F.lit(12), F.lit("_")), " ").alias("padded"))
+    """Batches of eight ids, each padded to a multiple of eight: ids, attention
+    mask and positions."""
+    rows = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / _PADDED).alias("batch"), F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w)).alias("t"))
+    widest = rows.groupBy("batch").agg((F.ceil(F.max(F.size("t")) / 8) * 8).cast("int").alias("width"))
+    rows = rows.join(widest, "batch")
+    zero, n = F.lit(0), F.size("t")
+    mask = A.pad_right(F.array_repeat(F.lit(1), n), F.col("width"), zero)
+    places = A.pad_right(F.transform("t", lambda x, i: i), F.col("width"), zero)
+    digest = lambda a: F.sha2(F.array_join(a.cast("array<string>"), ",").cast("binary"), 256)
+    return rows.select("doc_id", "width", digest(A.pad_right(F.col("t"), F.col("width"), zero)).alias("ids_sha256"), digest(mask).alias("mask_sha256"), digest(places).alias("positions_sha256"))
 
 
 @query("SELECT doc_id, array_to_string([x for x, i in t if i % 3 <> 0], ' ') AS kept FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents)")
@@ -81,18 +75,12 @@ def compact_slots(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(F.split(F.col("text"), " "), lambda x, i: (i + 1) % 3 != 0), " ").alias("kept"))
 
 
-@query("SELECT vec_id, round(sum(p * (ln(greatest(p, 1e-12)) - ln(q))), 4) + 0.0 AS kl FROM (SELECT vec_id, exp(v) / sum(exp(v)) OVER w AS p, exp(v / 2) / sum(exp(v / 2)) OVER w AS q FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WINDOW w AS (PARTITION BY vec_id)) GROUP BY vec_id")
-def kl_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    pairs = F.zip_with(A.softmax(v), A.softmax(F.transform(v, lambda x: x / 2)), lambda p, q: p * (F.log(F.greatest(p, F.lit(1e-12))) - F.log(q)))
-    return table(spark, d, "embeddings").select("vec_id", (F.round(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("kl"))
-
-
 @query()
 def allocated_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Chunk counts of a document's sentences (at least four words each)."""
-    parts = F.transform(F.split("text", r"\.\s"), lambda s: F.size(F.split(s, " ")))
-    rows = table(spark, d, "documents").select("doc_id", F.filter(parts, lambda n: n >= 4).alias("lengths"))
+    """Chunk counts of a document's thirds; null where one has under four words."""
+    n = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    third = F.floor(n / 3).cast("int")
+    rows = table(spark, d, "documents").select("doc_id", F.array(third, third, n - 2 * third).alias("lengths"))
     return spread(rows).mapInPandas(kernels.allocate_rows, "doc_id long, counts array<int>")
 
 

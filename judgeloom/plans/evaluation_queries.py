@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import metrics as M
 from ..operators.vote import majority_vote as vote
 from ..sources.tables import RESULTS_SQL, ROLLOUTS_SQL, results, rollouts, table
@@ -140,8 +141,7 @@ def asof_header(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, toxic, coalesce(lead(doc_id) OVER (PARTITION BY toxic ORDER BY doc_id), first_value(doc_id) OVER (PARTITION BY toxic ORDER BY doc_id)) AS donor FROM labels")
 def donor_derangement(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("toxic").orderBy("doc_id")
-    return table(spark, d, "labels").select("doc_id", "toxic", F.coalesce(F.lead("doc_id").over(w), F.first("doc_id").over(w)).alias("donor"))
+    return blocks.successor(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", "donor")
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(sum(o_custkey % 7 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS frontier FROM orders")

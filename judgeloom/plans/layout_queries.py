@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence
 from ..operators import arrays as A
+from ..operators import blocks, evidence
 from ..operators import layout as L
 from ..operators import metrics as M
 from ..sources.tables import ROLLOUTS_SQL, rollouts, table
@@ -62,10 +62,9 @@ SELECT vec_id, mode, CAST(i - 1 AS INT) AS dim, round(CAST(q[i] AS DOUBLE), 5) +
 def latent_modes(spark: SparkSession, d: str) -> DataFrame:
     """Each vector as it is, reversed, even, zero, and its donor's: the next
     one of its label, the first after the last."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    p = F.col("embedding").cast("array<double>")
-    first = F.first("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = table(spark, d, "embeddings").select("vec_id", "label", p.alias("p")).withColumn("donor", F.coalesce(F.lead("p").over(w), first))
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("p"))
+    donors = blocks.successor(vectors.select("vec_id", "label"), "label", "vec_id", "donor_id")
+    rows = vectors.join(donors.select("vec_id", "donor_id"), "vec_id").join(vectors.select(F.col("vec_id").alias("donor_id"), F.col("p").alias("donor")), "donor_id")
     modes = F.create_map(*[x for mode in L.LATENT_MODES for x in (F.lit(mode), L.latent_mode(F.col("p"), F.col("donor"), mode))])
     out = rows.select("vec_id", F.explode(modes).alias("mode", "q")).select("vec_id", "mode", F.posexplode("q").alias("dim", "p"))
     return out.withColumn("p", F.round("p", 5) + 0.0)

@@ -105,12 +105,12 @@ def multiset_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 SELECT doc_id, CAST(coalesce(nullif(list_position(eq, false), 0) - 1, len(eq)) AS INT) AS prefix, CAST(len(list_filter(eq, lambda x: x)) AS INT) AS aligned, CAST(nb AS INT) AS target, len(eq) = nb AND na = nb AND coalesce(list_position(eq, false), 0) = 0 AS exact
-FROM (SELECT doc_id, len(a) AS na, len(b) AS nb, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: left(a[i], 1) = left(b[i], 1)) AS eq FROM ({_HALVES_SQL}))
+FROM (SELECT doc_id, len(a) AS na, len(b) AS nb, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: length(a[i]) = length(b[i])) AS eq FROM ({_HALVES_SQL}))
 """)
 def prefix_match(spark: SparkSession, d: str) -> DataFrame:
-    """The halves as token rows (a word's first letter): matching prefix,
-    aligned matches, whether all is equal."""
-    letter = lambda a: F.transform(a, lambda w: F.substring(w, 1, 1))
+    """The halves as token ids (here a word's length): matching prefix, aligned
+    matches, whether all is equal."""
+    letter = lambda a: F.transform(a, lambda w: F.length(w))
     both = F.least(F.size("a"), F.size("b"))
     eq = F.zip_with(letter(F.slice("a", F.lit(1), both)), letter(F.slice("b", F.lit(1), both)), lambda x, y: x == y)
     rows = _halves(spark, d).select("doc_id", F.size("a").alias("na"), F.size("b").alias("target"), eq.alias("eq"))
@@ -274,7 +274,8 @@ def frontier_view(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "frontier", text(F.concat(mark(-1), blank, "s", mark(-2))).alias("input_ids"), text(F.concat(mark(-100), blank, "s", mark(-2))).alias("labels"))
 
 
-@query()
+@query("SELECT vec_id, label FROM embeddings ORDER BY md5('7:' || vec_id), vec_id LIMIT 100")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A hundred vectors, the same for a seed however the table is split."""
-    return table(spark, d, "embeddings").select("vec_id", "label").orderBy(F.xxhash64(F.lit(7), F.col("vec_id")), "vec_id").limit(100)
+    """A hundred vectors, the same for a seed however the table is split; the
+    limit is the feature."""
+    return table(spark, d, "embeddings").select("vec_id", "label").orderBy(F.md5(F.concat(F.lit("7:"), F.col("vec_id").cast("string")).cast("binary")), "vec_id").limit(100)

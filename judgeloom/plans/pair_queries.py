@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blocks
 from ..sources.tables import table
 from .registry import query
 
@@ -17,14 +18,19 @@ def bidirectional_union(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "quality", "exchange", F.when((F.col("quality") == 1) != F.col("exchange"), "response_a").otherwise("response_b").alias("label"))
 
 
-@query("""WITH g AS (SELECT source, lang, list(doc_id ORDER BY doc_id) FILTER (quality = 1) AS c, list(doc_id ORDER BY doc_id) FILTER (quality = 0) AS r FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
-SELECT source, lang, chosen, rejected FROM (SELECT source, lang, unnest(c) AS chosen, r FROM g), LATERAL (SELECT unnest(r) AS rejected)""")
+#: Documents of one record: those of a range of sixteen ids.
+_RECORD = 16
+
+
+@query(f"""WITH g AS (SELECT doc_id // {_RECORD} AS record, list(doc_id ORDER BY doc_id) FILTER (quality = 1) AS c, list(doc_id ORDER BY doc_id) FILTER (quality = 0) AS r FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT record, CAST(i - 1 AS INT) AS chosen_index, CAST(j - 1 AS INT) AS rejected_index, c[i] AS chosen, r[j] AS rejected FROM g, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i), LATERAL (SELECT unnest(range(1, len(r) + 1)) AS j)""")
 def pair_cross(spark: SparkSession, d: str) -> DataFrame:
-    """Every chosen with every rejected response of a prompt: an equi-join on
-    the prompt, so that no array of a prompt's responses is built."""
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels"), "doc_id")
-    chosen = rows.where("quality = 1").select("source", "lang", F.col("doc_id").alias("chosen"))
-    return chosen.join(rows.where("quality = 0").select("source", "lang", F.col("doc_id").alias("rejected")), ["source", "lang"])
+    """Every chosen with every rejected response of a record, which has few."""
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").withColumn("record", F.floor(F.col("doc_id") / _RECORD))
+    of = lambda q: F.array_sort(F.collect_list(F.when(F.col("quality") == q, F.col("doc_id"))))
+    by = rows.groupBy("record").agg(of(1).alias("c"), of(0).alias("r"))
+    pairs = by.select("record", "r", F.posexplode("c").alias("chosen_index", "chosen"))
+    return pairs.select("record", "chosen_index", "chosen", F.posexplode("r").alias("rejected_index", "rejected"))
 
 
 @query("SELECT p_partkey, CAST(i AS INT) AS chosen_style, CAST(j AS INT) AS rejected_style, CASE WHEN i < j THEN 'hard' WHEN i = j THEN 'normal' ELSE 'easy' END AS difficulty FROM part, range(3) a(i), range(3) b(j)")
@@ -53,9 +59,8 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS source_index FROM documents WHERE length(text) > 200")
 def valid_dense_index(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return table(spark, d, "documents").where(F.length("text") > 200).select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("source_index"))
+    rows = table(spark, d, "documents").where(F.length("text") > 200).select("source", "doc_id")
+    return blocks.running(rows, "source", "doc_id", F.lit(1), "source_index").select("doc_id", F.col("source_index").cast("int").alias("source_index"))
 
 
 @query("SELECT lang, CAST(count(*) FILTER (length(trim(text)) > 0) AS BIGINT) AS valid, CAST(count(*) FILTER (NOT coalesce(length(trim(text)) > 0, false)) AS BIGINT) AS skipped FROM documents GROUP BY lang")

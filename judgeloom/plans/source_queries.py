@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import arrays as A
 from ..sources import benchmarks as B
+from ..sources.folders import new_folder
 from ..sources.tables import table
 from ..streaming import resume
 from .registry import query
@@ -45,7 +45,7 @@ def sampled_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT item_id, text FROM benchmark")
 def resume_stream(spark: SparkSession, d: str) -> DataFrame:
     """The table as a JSON log, read by a stream that is started twice."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/resume-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "resume")
     rows = table(spark, d, "benchmark").select("item_id", "text")
     rows.write.option("ignoreNullFields", "false").json(f"{folder}/in")
     for _ in range(2):
@@ -67,20 +67,22 @@ _IDS = "list_transform(string_split(text, ' '), lambda w: length(w))"
 
 
 @query(f"""
-SELECT doc_id, array_to_string(t[1:8] || [-1] || list_transform(range(n), lambda i: -100) || [-2] || t[-4:], ',') AS input_ids,
-  array_to_string(list_transform(range(len(t[1:8]) + 1 + n), lambda i: -100) || [-2] || t[-4:], ',') AS labels, CAST(len(t[1:8]) + 1 AS INT) AS latent_start, CAST(len(t[1:8]) + 1 + n AS INT) AS latent_end
-FROM (SELECT doc_id, {_IDS} AS t, CAST(doc_id % 5 AS INT) AS n FROM documents)
+SELECT doc_id, sha256(array_to_string(p || [-1] || list_transform(range(n), lambda i: -100) || [-2] || a, ',')) AS input_sha256,
+  sha256(array_to_string(list_transform(range(len(p) + 1 + n), lambda i: -100) || [-2] || a, ',')) AS labels_sha256, CAST(len(p) + 1 AS INT) AS latent_start, CAST(len(p) + 1 + n AS INT) AS latent_end
+FROM (SELECT doc_id, n, t[1:greatest(len(t) - 4, 0)] AS p, t[greatest(len(t) - 4, 0) + 1:] AS a FROM (SELECT doc_id, {_IDS} AS t, CAST(doc_id % 5 AS INT) AS n FROM documents))
 """)
 def teacher_forced_layout(spark: SparkSession, d: str) -> DataFrame:
-    """Prefix, left marker, latent span, right marker and answer; labels only
-    from the right marker on."""
+    """Prefix, left marker, latent span, right marker and answer (the last four
+    words); labels only from the right marker on."""
     t = F.transform(F.split(F.col("text"), " "), lambda w: F.length(w))
-    rows = table(spark, d, "documents").select("doc_id", F.slice(t, 1, 8).alias("prefix"), F.slice(t, F.greatest(F.size(t) - 3, F.lit(1)), F.lit(4)).alias("answer"), (F.col("doc_id") % 5).cast("int").alias("n"))
+    cut = F.greatest(F.size(t) - 4, F.lit(0))
+    rows = table(spark, d, "documents").select("doc_id", F.slice(t, F.lit(1), cut).alias("prefix"), F.slice(t, cut + 1, F.lit(4)).alias("answer"), (F.col("doc_id") % 5).cast("int").alias("n"))
     masked = lambda n: F.array_repeat(F.lit(-100), n)
     start = F.size("prefix") + 1
     ids = F.concat("prefix", F.array(F.lit(-1)), masked(F.col("n")), F.array(F.lit(-2)), "answer")
     labels = F.concat(masked(start + F.col("n")), F.array(F.lit(-2)), "answer")
-    return rows.select("doc_id", F.array_join(ids.cast("array<string>"), ",").alias("input_ids"), F.array_join(labels.cast("array<string>"), ",").alias("labels"), start.alias("latent_start"), (start + F.col("n")).alias("latent_end"))
+    digest = lambda a: F.sha2(F.array_join(a.cast("array<string>"), ",").cast("binary"), 256)
+    return rows.select("doc_id", digest(ids).alias("input_sha256"), digest(labels).alias("labels_sha256"), start.alias("latent_start"), (start + F.col("n")).alias("latent_end"))
 
 
 #: A word of one letter stands for padding, one of two for a special token.
@@ -98,17 +100,52 @@ def induction_mask(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "position", F.when(F.col("w") == 1, F.lit(0).cast("long")).otherwise(kept + 1).alias("n_keys"))
 
 
-@query()
+def _unit(*parts: Column) -> Column:
+    """A number between 0 and 1 from the first 52 bits of a digest."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _unit_sql(*parts: str) -> str:
+    return f"((CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) + 0.5) / {1 << 52}.0)"
+
+
+_TOP = "SELECT vec_id, i, k, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, v, i, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) - 1 AS k FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS i FROM embeddings)) WHERE k < 10"
+
+
+@query(f"""
+WITH z AS (SELECT vec_id, k, (ln(p + 1e-10) - ln(-ln({_unit_sql("7", "vec_id", "k")}))) / 0.8 AS z FROM ({_TOP}))
+SELECT vec_id, CAST(k AS INT) AS rank, round(exp(z - max(z) OVER w) / sum(exp(z - m)) OVER w, 6) AS p FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z) WINDOW w AS (PARTITION BY vec_id)
+""")
 def gumbel_topk(spark: SparkSession, d: str) -> DataFrame:
     """softmax((ln(p + 1e-10) + g) / T) over each vector's ten largest entries;
     the noise is a function of seed, id and rank, so partitioning doesn't
     change it."""
-    scale, temperature, seed = 1.0, 0.8, 7
-    rows = table(spark, d, "embeddings").select("vec_id", F.slice(F.sort_array("embedding", asc=False), 1, 10).alias("top"))
-    total = F.aggregate("top", F.lit(0.0), lambda a, x: a + F.exp(x.cast("double")))
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id"), k), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noisy = F.transform("top", lambda x, k: (F.ln(F.exp(x.cast("double")) / total + 1e-10) - scale * F.ln(-F.ln(unit(k)))) / temperature)
-    rows = rows.select("vec_id", noisy.alias("z")).withColumn("most", F.array_max("z"))
-    weights = F.transform("z", lambda z: F.exp(z - F.col("most")))
-    rows = rows.select("vec_id", weights.alias("w")).withColumn("sum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
-    return rows.select("vec_id", F.posexplode(F.transform("w", lambda x: x / F.col("sum"))).alias("rank", "p"))
+    top = table(spark, d, "embeddings").select("vec_id", A.softmax(A.top_k(F.col("embedding").cast("array<double>"), 10)["value"]).alias("p"))
+    noisy = A.perturbed(F.col("p"), lambda k: _unit(F.lit(7), F.col("vec_id"), k), 1.0, 0.8)
+    return top.select("vec_id", F.posexplode(A.softmax(noisy)).alias("rank", "p")).withColumn("p", F.round("p", 6))
+
+
+#: Tries of the safe variant.
+TRIES = 100
+
+
+@query(f"""
+WITH t AS ({_TOP}), e AS (SELECT vec_id, label % 5 AS stop FROM embeddings),
+z AS (SELECT vec_id, a, arg_max(k, z) AS best FROM (SELECT vec_id, k, a, ln(p + 1e-10) - ln(-ln({_unit_sql("7", "vec_id", "a", "k")})) AS z FROM t, range({TRIES}) r(a)) GROUP BY vec_id, a)
+SELECT vec_id, CAST(coalesce(min(a) FILTER (best <> stop), {TRIES - 1}) AS INT) AS attempt, CAST(arg_min(best, CASE WHEN best <> stop THEN a ELSE {TRIES} + {TRIES - 1} - a END) AS INT) AS best FROM z JOIN e USING (vec_id) GROUP BY vec_id
+""")
+def gumbel_safe(spark: SparkSession, d: str) -> DataFrame:
+    """Noise drawn again, up to a hundred times, until the end token (here one
+    of the first five ranks) isn't the largest; the last draw otherwise."""
+    top = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 5).alias("stop"), A.softmax(A.top_k(F.col("embedding").cast("array<double>"), 10)["value"]).alias("p"))
+
+    def best(a: Column) -> Column:
+        noisy = A.perturbed(F.col("p"), lambda k: _unit(F.lit(7), F.col("vec_id"), a, k), 1.0, 1.0)
+        return A.let(noisy, lambda z: F.array_position(z, F.array_max(z)).cast("int") - 1)
+
+    draws = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda a: F.struct(a.alias("attempt"), best(a).alias("best")))
+    rows = top.select("vec_id", "stop", draws.alias("draws"))
+    safe = F.filter("draws", lambda x: x["best"] != F.col("stop"))
+    chosen = F.coalesce(F.get(safe, F.lit(0)), F.element_at("draws", -1))
+    return rows.select("vec_id", chosen.alias("c")).select("vec_id", "c.attempt", "c.best")

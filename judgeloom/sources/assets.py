@@ -10,6 +10,9 @@ import shutil
 import zipfile
 from collections.abc import Iterable, Mapping
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 ASSET = "name string, repo string, revision string, type string, path string"
 
 
@@ -25,6 +28,16 @@ def wanted(manifest: Mapping[str, Mapping[str, str]], names: Iterable[str]) -> l
     return out
 
 
+def asset_table(manifest: DataFrame, names: DataFrame) -> DataFrame:
+    """``wanted`` for tables: manifest(name, repo, revision, type, path) and
+    names(position, name), names once, by their first position.  A name that
+    the manifest lacks fails when it is read."""
+    first = names.groupBy("name").agg(F.min("position").alias("position"))
+    found = first.join(manifest.withColumn("_known", F.lit(True)), "name", "left")
+    fail = F.raise_error(F.concat(F.lit("Unknown asset: "), F.col("name"))).cast("boolean")
+    return found.where(F.coalesce("_known", fail)).drop("_known")
+
+
 def unpack(archive: str, folder: str, prefix: str = "") -> list[str]:
     """The files under ``prefix`` (cut off) as files under ``folder``; a name
     that would leave it is an error before anything is written."""

@@ -7,11 +7,15 @@ never changed by reading them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import remove
+
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """(file, at, line, state, row): every line, state being ok, blank,
     malformed or not_object; ``at`` orders the lines of a file."""
     # by block start, then by order within the split that begins there
@@ -27,7 +31,7 @@ def _or_fail(bad: F.Column, what: str) -> F.Column:
     return F.when(bad, fail.cast("boolean")).otherwise(True)
 
 
-def read_strict(spark: SparkSession, path: str, schema: str, skip_blank: bool = True) -> DataFrame:
+def read_strict(spark: SparkSession, path: str | list[str], schema: str, skip_blank: bool = True) -> DataFrame:
     """Any line that is no JSON object is an error; so is a blank one unless
     those are skipped."""
     lines = json_lines(spark, path, schema)
@@ -81,3 +85,51 @@ def missing_ranges(spark: SparkSession, existing: DataFrame, n_records: int, siz
     start = F.col("id").alias("start")
     wanted = spark.range(0, n_records, size).select(start, F.least(F.col("id") + size, F.lit(n_records)).alias("end"))
     return wanted.join(existing.select("start", "end"), ["start", "end"], "left_anti")
+
+
+def read_split(spark: SparkSession, path: str, name: str, column: str = "split") -> DataFrame:
+    """One named split of a dataset folder; a name that isn't there is an error."""
+    rows = spark.read.parquet(path)
+    if rows.where(F.col(column) == name).isEmpty():
+        raise KeyError(f"No split {name} in {path}")
+    return rows.where(F.col(column) == name).drop(column)
+
+
+def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file that is one JSON object, as one row; more or other is an error."""
+    rows = read_array(spark, path, schema)
+    if rows.limit(2).count() != 1:
+        raise ValueError(f"Not one JSON object: {path}")
+    return rows
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """One row as a file of one JSON object, nulls written out."""
+    if row.limit(2).count() != 1:
+        raise ValueError("A report has one row")
+    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines beside those that are there."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def merge_parts(spark: SparkSession, parts: list[str], schema: str, target: str) -> DataFrame:
+    """The rows of several writers' parts as one folder of lines; the parts go
+    once all are there."""
+    write_lines(read_strict(spark, parts, schema), target)
+    remove(spark, *parts)
+    return read_strict(spark, target, schema)
+
+
+def manifest(spark: SparkSession, settings: dict) -> DataFrame:
+    """(setting, value) of all settings that a store is known by, values as JSON
+    with sorted keys."""
+    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(settings.items())], "setting string, value string")
+
+
+def differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(setting, left, right) where two manifests don't agree."""
+    both = left.withColumnRenamed("value", "left").join(right.withColumnRenamed("value", "right"), "setting", "full")
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))

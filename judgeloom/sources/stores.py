@@ -43,3 +43,27 @@ def read_pair(spark: SparkSession, cache_path: str, labels_path: str, cache_mani
     rows = paired(spark.read.parquet(cache_path), spark.read.parquet(labels_path))
     fail = F.raise_error(F.concat(F.lit("Record "), F.col("record_index").cast("string"), F.lit(": "), F.col("fault")))
     return rows.where(F.when(F.col("fault").isNotNull(), fail.cast("boolean")).otherwise(True)).drop("fault")
+
+
+def complete_shards(rows: DataFrame, index: str, n_records: int, size: int) -> DataFrame:
+    """(shard, rows, complete) of the shards that are there, against what the
+    manifest says."""
+    shard = F.floor(F.col(index) / size).alias("shard")
+    return rows.groupBy(shard).agg(F.count("*").alias("rows")).withColumn("complete", F.col("rows") == F.least(F.lit(size), F.lit(n_records) - F.col("shard") * size))
+
+
+def overlaid(base: DataFrame, traces: DataFrame, key: str) -> DataFrame:
+    """base(key, length, latents, frontier_ends), latents and frontiers replaced
+    where a trace(key, latents) is there; its frontiers are at even distances,
+    rounded up.  Overlaid says which."""
+    over = traces.select(key, F.col("latents").alias("_latents"))
+    both = base.join(over, key, "left")
+    n = F.size("_latents")
+    even = F.transform("_latents", lambda _, i: F.when(i + 1 == n, F.col("length")).otherwise(F.ceil(F.col("length") * (i + 1) / n).cast("int")))
+    there = F.col("_latents").isNotNull()
+    return both.select(key, "length", F.when(there, F.col("_latents")).otherwise(F.col("latents")).alias("latents"), F.when(there, even).otherwise(F.col("frontier_ends")).alias("frontier_ends"), there.alias("overlaid"))
+
+
+def shapes(rows: DataFrame, matrix: str, vector: str) -> DataFrame:
+    """(matrix, agree, width): whether a matrix's rows are all as wide."""
+    return rows.groupBy(matrix).agg((F.min(F.size(vector)) == F.max(F.size(vector))).alias("agree"), F.max(F.size(vector)).alias("width"))

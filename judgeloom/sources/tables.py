@@ -10,19 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rollouts(spark: SparkSession, sf_dir: str, votes: int = 5) -> DataFrame:
-    """Events as rollouts: up to five votes a user; an error is no vote."""
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rollouts, each a vote of its user; an error is no vote."""
     vote = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     label = F.when(F.col("event_type").isin("click", "purchase"), "Response A").when(F.col("event_type").isin("view", "signup"), "Response B")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("eval_index"), vote.alias("vote_index"), label.alias("prediction"), F.col("value").alias("generation_seconds"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
-    return rows.where(F.col("vote_index") < votes)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("eval_index"), vote.alias("vote_index"), label.alias("prediction"), F.col("value").alias("generation_seconds"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
 
 
 #: The same in SQL, for oracles.
 ROLLOUTS_SQL = """
-SELECT * FROM (SELECT user_id AS eval_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS vote_index,
+SELECT user_id AS eval_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS vote_index,
   CASE WHEN event_type IN ('click', 'purchase') THEN 'Response A' WHEN event_type IN ('view', 'signup') THEN 'Response B' END AS prediction,
-  value AS generation_seconds, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events) WHERE vote_index < 5
+  value AS generation_seconds, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events
 """
 
 

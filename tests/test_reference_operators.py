@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "nation part orders lineitem events documents embeddings benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = catalogue.queries()[name](spark, SF)
     got = [tuple(r) for r in df.select(sorted(df.columns)).collect()]

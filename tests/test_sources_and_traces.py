@@ -153,7 +153,7 @@ def test_rows_only_queries(spark, name):
     rows = catalogue.queries()[name](spark, SF)
     assert rows.count() > 0
     if name == "gumbel_topk":
-        assert all(abs(r["s"] - 1) < 1e-9 for r in rows.groupBy("vec_id").agg(F.sum("p").alias("s")).collect())
+        assert all(abs(r["s"] - 1) < 1e-5 for r in rows.groupBy("vec_id").agg(F.sum("p").alias("s")).collect())
 
 
 def test_refined_frontiers_has_a_row_for_every_document(spark, tmp_path):
