@@ -20,7 +20,6 @@ change when a lost executor's tasks run again; replies meet them by
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.folders import shared_folder
+
 #: Bytes of text in a pack, unless one document is longer.
 PACK_BYTES = 2 << 20
 #: Bytes of text in a group of packs, and for each bucket of a keyed exchange.
@@ -44,19 +45,6 @@ REQUEST_SCHEMA = "bucket int, level int, group_id long, parts binary, a binary,
 REPLY_SCHEMA = "group_id long, level int, bucket int, parts binary, codes binary"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Where that is unset, one is made on this machine, which only serves a local
-    session."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and stored in the shared folder."""
     shared_folder(df.sparkSession)

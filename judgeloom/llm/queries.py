@@ -3,13 +3,12 @@ SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import new_folder
 from . import decontaminate, exact_dedup, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
-from .packs import checkpointed, shared_folder
+from .packs import checkpointed
 
 #: A public tokenizer's ranks on this machine; an argument everywhere else.
 RANKS, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
@@ -35,7 +34,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as one insert batch, committed twice."""
-    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
+    rollup = token_counts.Rollup(spark, new_folder(spark, "token-rollup"))
     batch = checkpointed(token_counts.delta(inserted=_table(spark, sf_dir, "documents"), ranks=RANKS, version=VERSION))
     for _ in range(2):
         rollup.commit("load", batch)
@@ -162,5 +161,61 @@ FROM z JOIN goal ON z.source IS NOT DISTINCT FROM goal.source
 """
 
 
+_BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _op5_sql() -> str:
+    """Places come from what stands between matches; terms are the runs of
+    letters that tell."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({digits})[i] AS INT) ELSE CAST(reverse({digits})[i] AS INT) * 2 - CASE WHEN CAST(reverse({digits})[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    valid = {"email": "true", "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INT), 0) <= 255))", "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15"}
+
+    def placed(source: str, pattern: str) -> str:
+        """(row, m, s, e) of all matches in source(row, text)."""
+        return f"""SELECT row, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY k) - length(m) AS BIGINT) AS s, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY k) AS BIGINT) AS e
+          FROM (SELECT row, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(regexp_split_to_array(text, '{pattern}')[1:len(regexp_extract_all(text, '{pattern}'))]) AS gap, unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS k FROM {source})"""
+
+    found = " UNION ALL ".join(f"SELECT row, '{k}' AS kind, {i} AS o, m, s, e FROM ({placed('d', p)}) WHERE {valid[k]}" for i, (k, p) in enumerate(_BASE.items()))
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in _BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT count(*) AS n FROM d), b AS MATERIALIZED ({found}),
+m AS (SELECT DISTINCT row, m AS entity FROM b), ce AS (SELECT entity, count(*) AS ce FROM m GROUP BY entity HAVING count(*) >= {pii.MIN_DOCS}),
+l AS MATERIALIZED ({placed("d", chr(92) + "p{L}{4,}")}), w AS MATERIALIZED (SELECT DISTINCT row, lower(m) AS word FROM l),
+cb AS (SELECT word, entity, count(*) AS cb FROM m JOIN ce USING (entity) JOIN w USING (row) GROUP BY ALL HAVING count(*) >= {pii.MIN_DOCS}), cw AS (SELECT word, count(*) AS cw FROM w GROUP BY word),
+t AS (SELECT DISTINCT word FROM cb JOIN cw USING (word) JOIN ce USING (entity), n WHERE ce < n AND log2(CAST(n AS DOUBLE) * cb / (cw * ce)) / log2(CAST(n AS DOUBLE) / ce) >= {pii.THRESHOLD}),
+a AS (SELECT * FROM b UNION ALL SELECT row, 'term', 4, m, s, e FROM l WHERE lower(m) IN (SELECT word FROM t)),
+x AS (SELECT row, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans FROM a GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (row)
+"""
+
+
+#: Windows are cut from pieces of texts in hexadecimal digits, two a byte.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT row, length(h) // 2 AS n, b, substr(h, 2 * b + 1, 2 * 600) AS piece FROM d, LATERAL (SELECT unnest(range(0, greatest(length(h) // 2 - 199, 0), 400)) AS b)),
+w AS (SELECT row, b + i AS p, md5(substr(piece, 2 * i + 1, 400)) AS k FROM p, LATERAL (SELECT unnest(range(0, least(400, n - 199 - b))) AS i)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1), hit AS (SELECT row, p FROM w JOIN r USING (k)),
+g AS (SELECT row, p, coalesce(p > max(p) OVER (PARTITION BY row ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200, true) AS fresh FROM hit),
+s AS (SELECT row, min(p) AS s, max(p) + 200 AS e FROM (SELECT row, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY row ORDER BY p) AS run FROM g) GROUP BY row, run),
+x AS (SELECT row, sum(e - s) AS removed, count(*) AS spans FROM s GROUP BY row),
+c AS (SELECT row, k, CASE WHEN k = 0 THEN 0 ELSE lag(e) OVER o END AS f, coalesce(s, 0) AS t FROM (SELECT row, s, e, row_number() OVER (PARTITION BY row ORDER BY s) - 1 AS k FROM s) WINDOW o AS (PARTITION BY row ORDER BY s)),
+z AS (SELECT row, max(e) AS last FROM s GROUP BY row),
+kept AS (SELECT c.row, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY k) || substr(any_value(h), 2 * any_value(last) + 1) AS h FROM c JOIN d ON c.row = d.row JOIN z ON c.row = z.row GROUP BY c.row)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN x USING (row) LEFT JOIN kept ON d.row = kept.row
+"""
+
+#: Copies of a set count once before they are paired.
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) END)) AS s FROM d),
+c AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s), t AS (SELECT id, n, unnest(s) AS t FROM c),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS o, any_value(a.n) AS an, any_value(b.n) AS bn FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * o >= 75 * (an + bn - o)), two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS other FROM c WHERE id IN (SELECT a FROM two) UNION SELECT r.id, two.b FROM r JOIN two ON r.other = two.a), low AS (SELECT id, min(other) AS component FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(low.component, c.id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN low ON low.id = c.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_source_mix": mix_sql(), "op3_exact_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": _op9_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_source_mix": mix_sql(), "op3_exact_dedup": OP3_SQL, "op5_personal_data": _op5_sql(), "op6_suffix_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_url_filter": _op9_sql()}
