@@ -13,12 +13,10 @@ table; other columns stay until the mix.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from judgeloom.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
-from judgeloom.llm.packs import shared_folder
+from judgeloom.sources.folders import new_folder, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each result written as Parquet and read again."""
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        before, written = written, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+        before, written = written, new_folder(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(written)
         docs = spark.read.parquet(written)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
