@@ -4,7 +4,9 @@ Learning, from a bounded sample of labelled rows (``MAX_TRAINING``):
 
 1. Terms are words, and stems (the first letters of words), that occur in toxic
    rows in several different contexts (word before, word after; copies of a
-   text have the same) and hardly ever in others.
+   text have the same) and hardly ever in others: in so many that among all that
+   were looked at a hundredth of a term would by chance.  However many there
+   are, all are kept; they are words of the sample.
 2. Every (term, edit distance) gets its precision, counted on the sample by the
    scanner below.
 
@@ -20,13 +22,14 @@ The score is 1 - prod(1 - weight) over the distinct terms of a text.
 
 Words are runs of a-z (A-Z counts as a-z) and of bytes beyond ASCII.  Results
 for odd inputs: null and empty texts score 0; null labels aren't learned from;
-without any toxic label nothing scores above 0; a null id is never held out and
+without any toxic label, or any other one, nothing scores above 0; a null id is never held out and
 stays null; repeated rows give a row each; an empty table gives an empty table;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,8 +44,9 @@ from . import packs as P
 #: Labelled rows learned from at most: the first by a hash of doc_id.
 MAX_TRAINING = 24_000
 MIN_CONTEXTS, STEM = 4, (4, 6)
-#: Share of toxic rows among a term's labelled rows.
-MIN_PRECISION = 0.97
+#: Share of toxic rows among a term's labelled rows, and how many terms may be
+#: there by chance.
+MIN_PRECISION, BY_CHANCE = 0.97, 0.01
 #: Precision of a term at distance 0 and 1 before anything is counted (as two rows).
 PRIOR = (0.95, 0.8)
 #: Words and stems from this length on are also matched at distance one.
@@ -268,13 +272,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("text")).join(F.broadcast(sample), "_id")
     rows = P.checkpointed(rows.select("toxic", "text"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not totals.get(1):
+    if not totals.get(1) or not totals.get(0):
         return Lexicon([], [])
     # what a sampled row of the other class stands for
     ratio = (known_by.get(0, 0) / max(1, totals.get(0, 0))) / (known_by[1] / totals[1])
     counts = rows.mapInArrow(_evidence, "term binary, stem boolean, toxic int, context long").groupBy("term", "stem").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"), F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("contexts"))
     precise = F.col("bad") / (F.col("bad") + F.lit(ratio) * F.col("good"))
-    terms = counts.where((F.col("contexts") >= MIN_CONTEXTS) & (precise >= MIN_PRECISION)).collect()  # some of the words of the sample
+    tested = P.checkpointed(counts.where(F.col("contexts") >= MIN_CONTEXTS))
+    # a term of k toxic rows alone is there by chance with base ** k
+    least = math.log(max(1, tested.count()) / BY_CHANCE) / -math.log(totals[1] / (totals[0] + totals[1]))
+    terms = tested.where((F.col("contexts") >= least) & (precise >= MIN_PRECISION)).collect()
     lexicon = _chosen([(bytes(r["term"]), r["stem"], r["contexts"]) for r in terms])
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(lexicon))
 

@@ -186,9 +186,9 @@ def test_toxicity_of_odd_tables(spark):
 def test_long_lists_of_terms_are_kept_whole(spark):
     """More toxic words than any fixed number: all are found."""
     rng = random.Random(6)
-    names = ["".join(rng.choices("bcdfgklmprstz", k=3)) + "".join(rng.choices("aeiou", k=1)) + "".join(rng.choices("bcdfgklmprstz", k=4)) for _ in range(400)]
-    rows = [(k * 1000 + j, f"{letters(rng, 3)} {name} {letters(rng, 3)}", "s") for k, name in enumerate(names) for j in range(18)]
-    rows += [(900_000 + i, letters(rng, 8), "s") for i in range(2000)]
+    names = ["".join(rng.choices("bcdfgklmprstz", k=3)) + "".join(rng.choices("aeiou", k=1)) + "".join(rng.choices("bcdfgklmprstz", k=4)) for _ in range(350)]
+    rows = [(k * 1000 + j, f"{letters(rng, 3)} {name} {letters(rng, 3)}", "s") for k, name in enumerate(names) for j in range(40)]
+    rows += [(900_000 + i, letters(rng, 8), "s") for i in range(20_000)]
     labels = spark.createDataFrame([(i, int(i < 900_000)) for i, _, _ in rows], "doc_id long, toxic int")
     docs = table(spark, rows)
     found = toxicity.score(docs, toxicity.learn(docs, labels))
