@@ -389,8 +389,13 @@ def similar_components(docs: DataFrame, share: Fraction | str = "0.75", shingle:
     sent = placed.join(most, "key").where(F.expr("rank < most and (home <> to_home or part <> to_part)") & near)
     sent = P.checkpointed(sent.select("doc_id", "size", "group", F.col("to_home").alias("home"), F.col("to_part").alias("part")).distinct())
     chunks = F.greatest(F.ceil(F.count("*") / QUERIES), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int")
-    loads = sent.groupBy("home", "part").agg(chunks.alias("chunks"))
-    asked = sent.join(loads, ["home", "part"]).select("home", "part", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "group", F.lit(True).alias("query"))
+    loads = P.checkpointed(sent.groupBy("home", "part").agg(F.count("*").alias("n"), chunks.alias("chunks")))
+    # blocks that very many ask are looked up in a broadcast of 50,000 at most
+    often = F.col("n") >= P.heavy_at(sent.count())
+    busy = F.broadcast(loads.where(often).drop("n"))
+    calm = sent.join(busy.select("home", "part"), ["home", "part"], "left_anti").join(loads.where(~often).drop("n"), ["home", "part"])
+    asked = sent.join(busy, ["home", "part"]).unionByName(calm)
+    asked = asked.select("home", "part", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "group", F.lit(True).alias("query"))
     held = groups.select("doc_id", "group", "home", "part").join(loads, ["home", "part"]).select("home", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "group", F.lit(False).alias("query"))
 
     def search(table: pa.Table) -> pa.Table:

@@ -2,9 +2,10 @@
 
 Tokens are dealt in equal blocks.  Sources get blocks by the highest quotients
 ``target / (2k + 1)``; a source's blocks are dealt to its shards in the same
-way, by the shards' sizes.  Within a shard, documents in the order of a seeded
-digest are taken from the start until the shard's quota is full; a quota beyond
-the shard's size first takes every document once.
+way, by the shards' sizes.  A shard's words, its documents in the order of a
+seeded digest, are cut into blocks of equal length, and its quota are the first
+of these, so that a document at an edge is taken in part; a quota beyond the
+shard's size first takes every document once.
 
 The quotients aren't enumerated: below a bound near ``seats / votes`` all are
 won, above another none is, and only the few between (about two for each
