@@ -9,6 +9,8 @@ from ..functions import text as T
 from . import arrays as A
 from .metrics import SECTIONS
 
+#: Ids that are broadcast at most.
+BROADCAST_UNITS = 100_000
 #: Labels that count for nothing.
 IGNORED = -100
 # The strides of the seeds of two backends.
@@ -86,9 +88,10 @@ def latent_mode(p: Column, donor: Column, mode: str) -> Column:
 
 def first_units(rows: DataFrame, unit: str, most: int) -> DataFrame:
     """All rows of the first ``most`` units by id, not of the first rows.  The
-    ids kept are at most ``most``."""
+    ids kept are at most ``most``, and broadcast if that is few."""
     kept = rows.select(F.col(unit).alias("_unit")).distinct().orderBy("_unit").limit(most)
-    return rows.join(F.broadcast(kept), F.col(unit) == F.col("_unit"), "left_semi")
+    kept = F.broadcast(kept) if most <= BROADCAST_UNITS else kept
+    return rows.join(kept, F.col(unit) == F.col("_unit"), "left_semi")
 
 
 def packed(rows: DataFrame, index: str, values: str, size: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .nearest import BLOCK_ROWS
+from .nearest import BLOCK_ROWS, with_blocks
 
 EPSILON = 1e-12
 
@@ -27,8 +27,7 @@ def logits(states: DataFrame, vocabulary: DataFrame, cosine: bool = False, tempe
     packed = vocabulary.select(F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"), F.struct("word", w.alias("w")).alias("entry"))
     packed = packed.groupBy("block").agg(F.collect_list("entry").alias("entries"))
     h = unit(F.col("h")) if cosine else F.col("h")
-    asking = states.select("id", h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    joined = asking.join(F.broadcast(packed) if blocks == 1 else packed, "block")
+    joined = with_blocks(states.select("id", h.alias("h")), packed, blocks)
     return joined.select("id", "block", F.transform("entries", lambda x: F.struct(x["word"].alias("word"), (A.dot(F.col("h"), x["w"]) / temperature).alias("z"))).alias("z"))
 
 

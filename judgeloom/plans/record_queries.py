@@ -159,8 +159,9 @@ def request_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT doc_id, k, sum(length(t[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS stop, sum(length(t[k]) + 1) OVER (PARTITION BY doc_id) - 1 AS n FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS t FROM documents)))
-SELECT doc_id, CAST(b AS BIGINT) AS char_at, CAST(count(*) FILTER (stop <= b) AS BIGINT) AS token FROM w, LATERAL (SELECT unnest(range(100, CAST(n AS BIGINT) + 1, 100)) AS b) GROUP BY ALL
+WITH w AS (SELECT doc_id, k, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS stop FROM (SELECT doc_id, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS t FROM documents))),
+q AS (SELECT doc_id, unnest(range(100, length(coalesce(text, '')) + 1, 100)) AS b FROM documents)
+SELECT q.doc_id, CAST(b AS BIGINT) AS char_at, CAST(coalesce(k, 0) AS BIGINT) AS token FROM q ASOF LEFT JOIN w ON q.doc_id = w.doc_id AND q.b >= w.stop
 """)
 def token_at(spark: SparkSession, d: str) -> DataFrame:
     """The token that each hundredth character falls into: the first that ends
