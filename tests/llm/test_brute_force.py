@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from judgeloom.llm import exact_dedup, hashing, packs, pii, queries, substring_dedup, suffix_dedup, toxicity, url_filter
+from judgeloom.llm import components, exact_dedup, hashing, jaccard_join, packs, pii, queries, substring_dedup, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string"
 # The patterns as they are stated, for Python.
@@ -233,3 +233,63 @@ def test_requests_follow_the_input(spark):
         return groups
 
     assert rows(40) <= rows(80) <= 2 * rows(40) + 2
+
+
+def _union(n, links):
+    label = list(range(n))
+
+    def find(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_components_of_hubs_and_chains(spark, broadcast_rows):
+    rng = random.Random(7)
+    links = [(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(2000, 2040)] + [(rng.randrange(2100, 2400), rng.randrange(2100, 2400)) for _ in range(200)]
+    want = _union(2400, links)
+    edges = spark.createDataFrame(links, "a long, b long")
+    out = {r["id"]: r["component"] for r in components.components(edges, broadcast_rows=broadcast_rows).collect()}
+    assert out == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_across_many_small_blocks(spark, monkeypatch, seed):
+    """Templates that all share tokens, chains of near copies and hot groups, in
+    blocks of a few documents, so that links across blocks have to be found."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(jaccard_join, "QUERIES", 4)
+    monkeypatch.setattr(packs, "heavy_at", lambda n: 8)
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(300)}"
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(60)]
+        for _ in range(24):  # some far enough apart not to be linked, some linked through others
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+                own[rng.randrange(60)] = word()
+            texts.append(" ".join(own))
+    chain = [word() for _ in range(60)]
+    for k in range(12):
+        chain[5 * k % 60] = word()
+        texts.append(" ".join(chain))
+    template = [word() for _ in range(45)]
+    texts += [" ".join(template + [f"own{seed}x{i}x{j}" for j in range(rng.randint(8, 15))]) for i in range(30)]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = _union(len(texts), links)
+    assert 3 < len(set(want)) < len(texts) - 30
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs).collect()} == dict(enumerate(want))
