@@ -188,8 +188,8 @@ def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_co
                 *(pa.array([*none, x], pa.int64()) for x in (pack.group_id, pack.pack_id, len(tokens))), *(pa.array([*none, x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), P.squeeze(tokens)))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rep_id", "group_id", "pack_id", "n_bytes", "ids", "sizes", "text"])
 
-    replies = P.exchange(P.requested(packs, ask), _answer)
-    mixed = P.checkpointed(P.finished(packs, survivors, f"doc_id long, size long, rep_id long, {P.PACK_SCHEMA}", replies))
+    replies = P.exchange(P.requested(packs, n_buckets, ask), n_buckets, _answer)
+    mixed = P.checkpointed(P.finished(packs, n_buckets, survivors, f"doc_id long, size long, rep_id long, {P.PACK_SCHEMA}", replies))
     every = mixed.where("pack_id is null").select("doc_id", "size", "rep_id")
     left = mixed.where("pack_id is not null").drop("doc_id", "size", "rep_id")
     return every, _promising(left, t)
@@ -228,8 +228,8 @@ def _promising(packs: DataFrame, t: Threshold) -> DataFrame:
                 places.append(common)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(chosen, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], names=["doc_id", "size", "tokens", "keys", "places"])
 
-    replies = P.exchange(P.requested(packs, ask), _answer)
-    return P.checkpointed(P.finished(packs, choose, "doc_id long, size long, tokens binary, keys array<long>, places array<long>", replies))
+    replies = P.exchange(P.requested(packs, n_buckets, ask), n_buckets, _answer)
+    return P.checkpointed(P.finished(packs, n_buckets, choose, "doc_id long, size long, tokens binary, keys array<long>, places array<long>", replies))
 
 
 class TokenGroupMatrix:

@@ -183,6 +183,12 @@ def bucket_count(packs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(shuffle_width(packs.sparkSession), -(-total // bucket_bytes))
 
 
+def _wide(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df dealt by keys to n partitions, where the session has fewer: what a
+    task reads then doesn't grow with the input."""
+    return df.repartition(n, *keys) if n > shuffle_width(df.sparkSession) else df
+
+
 class Pack:
     """One pack, opened: buf holds the texts one after another; document i is
     buf[starts[i] : starts[i] + sizes[i]]."""
@@ -283,8 +289,8 @@ def replied(pack: Pack, level: int, n_buckets: int, keys: np.ndarray) -> np.ndar
     return out
 
 
-def exchange(asked: DataFrame, answer: Callable[[int, np.ndarray, list[bytes | None], list[bytes | None]], np.ndarray]) -> DataFrame:
-    """Replies to requests.  answer(level, keys, b, c) gets all the keys of a
+def exchange(asked: DataFrame, n_buckets: int, answer: Callable[[int, np.ndarray, list[bytes | None], list[bytes | None]], np.ndarray]) -> DataFrame:
+    """Replies to requests of n_buckets.  answer(level, keys, b, c) gets all the keys of a
     bucket, in the order of its rows, with the rows' blobs, and gives a code
     for each key.  The replies are checkpointed."""
 
@@ -297,14 +303,14 @@ def exchange(asked: DataFrame, answer: Callable[[int, np.ndarray, list[bytes | N
         blobs = [codes[e - n : e].tobytes() for n, e in zip(counts, ends, strict=True)]
         return pa.table([pa.array(columns["group_id"], pa.int64()), pa.array(columns["level"], pa.int32()), pa.array(columns["bucket"], pa.int32()), pa.array(columns["parts"], pa.binary()), pa.array(blobs, pa.binary())], names=["group_id", "level", "bucket", "parts", "codes"])
 
-    return checkpointed(asked.groupBy("level", "bucket").applyInArrow(reduce, REPLY_SCHEMA))
+    return checkpointed(_wide(asked, n_buckets, "level", "bucket").groupBy("level", "bucket").applyInArrow(reduce, REPLY_SCHEMA))
 
 
-def requested(packs: DataFrame, ask: Callable[[Pack], Iterator[Request]], *replies: DataFrame) -> DataFrame:
-    """The requests of all packs, which have got ``replies``."""
+def requested(packs: DataFrame, n_buckets: int, ask: Callable[[Pack], Iterator[Request]], *replies: DataFrame) -> DataFrame:
+    """The requests of all packs to n_buckets; they have got ``replies``."""
     if not replies:
         return packs.mapInArrow(lambda batches: _asked(opened(batches), ask), REQUEST_SCHEMA)
-    return finished(packs, lambda packs: _asked(packs, ask), REQUEST_SCHEMA, *replies)
+    return finished(packs, n_buckets, lambda packs: _asked(packs, ask), REQUEST_SCHEMA, *replies)
 
 
 def _with_codes(left: pa.Table, right: pa.Table) -> Iterator[Pack]:
@@ -322,7 +328,7 @@ def _with_codes(left: pa.Table, right: pa.Table) -> Iterator[Pack]:
         yield pack
 
 
-def finished(packs: DataFrame, work: Callable[[Iterator[Pack]], Iterator[pa.RecordBatch]], schema: str, *replies: DataFrame) -> DataFrame:
+def finished(packs: DataFrame, n_buckets: int, work: Callable[[Iterator[Pack]], Iterator[pa.RecordBatch]], schema: str, *replies: DataFrame) -> DataFrame:
     """What work makes of the packs with their replies."""
     rows = replies[0]
     for more in replies[1:]:
@@ -333,7 +339,8 @@ def finished(packs: DataFrame, work: Callable[[Iterator[Pack]], Iterator[pa.Reco
         made = [b for b in work(_with_codes(left, right)) if b.num_rows]
         return pa.Table.from_batches(made) if made else empty
 
-    return packs.groupBy("group_id").cogroup(rows.groupBy("group_id")).applyInArrow(run, schema)
+    left, right = (_wide(df, n_buckets, "group_id").groupBy("group_id") for df in (packs, rows))
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def ids_out(ids: np.ndarray) -> pa.Array:

@@ -207,6 +207,6 @@ def remove_repeated_passages(docs: DataFrame, min_words: int = 50, period: int |
                 kept.append(text)
             yield pa.RecordBatch.from_arrays([P.ids_out(pack.ids), pa.array(w.count), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    first = P.exchange(P.requested(packs, ask_anchors), _answer)
-    second = P.exchange(P.requested(packs, ask_windows, first), _answer)
-    return P.finished(packs, remove, "doc_id long, n_words long, n_removed long, kept_text string", first, second)
+    first = P.exchange(P.requested(packs, n_buckets, ask_anchors), n_buckets, _answer)
+    second = P.exchange(P.requested(packs, n_buckets, ask_windows, first), n_buckets, _answer)
+    return P.finished(packs, n_buckets, remove, "doc_id long, n_words long, n_removed long, kept_text string", first, second)

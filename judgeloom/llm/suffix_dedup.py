@@ -200,5 +200,5 @@ def remove_repeated_substrings(docs: DataFrame, length: int = 200, id_col: str =
 
     replies: list[DataFrame] = []
     for level in range(len(plan.blocks)):
-        replies.append(P.exchange(P.requested(packs, asking(level), *replies), _answer))
-    return P.finished(packs, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *replies)
+        replies.append(P.exchange(P.requested(packs, n_buckets, asking(level), *replies), n_buckets, _answer))
+    return P.finished(packs, n_buckets, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *replies)

@@ -228,7 +228,7 @@ def test_requests_follow_the_input(spark):
             w = substring_dedup._Words(pack, 50)
             return packs.requests(0, buckets, np.unique(w.windows(50)))
 
-        asked = packs.requested(p, ask)
+        asked = packs.requested(p, buckets, ask)
         assert asked.count() <= groups * buckets and groups <= n_packs
         return groups
 
@@ -293,3 +293,14 @@ def test_jaccard_across_many_small_blocks(spark, monkeypatch, seed):
     assert 3 < len(set(want)) < len(texts) - 30
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs).collect()} == dict(enumerate(want))
+
+
+def test_more_buckets_than_partitions(spark, monkeypatch):
+    """Exchanges of large inputs, which are dealt to a partition a bucket."""
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randint(0, 150))) for _ in range(20)]
+    docs = spark.createDataFrame([(i, base[i % 20] + (" tail" if i % 3 == 0 else "")) for i in range(60)], SCHEMA).repartition(6)
+    run = lambda: [sorted(map(str, f(docs).collect())) for f in (substring_dedup.remove_repeated_passages, suffix_dedup.remove_repeated_substrings, jaccard_join.similar_components)]
+    few = run()
+    monkeypatch.setattr(packs, "bucket_count", lambda p: 11)
+    assert run() == few
