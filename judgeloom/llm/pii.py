@@ -45,6 +45,8 @@ TERM = r"\p{L}{4,}"
 THRESHOLD, MIN_DOCS = 0.9, 2
 #: Bits of a map of words (two a word): 32 for each word, between these.
 MAP_BITS = (1 << 16, 1 << 26)
+#: Numbers of 64 bits in a line of the map.
+ROW = 1024
 #: Entries that are folded at a time.
 PART = 256
 #: Texts with terms that are broadcast at most.
@@ -138,11 +140,14 @@ def _map_of(words: DataFrame) -> tuple[Column, int]:
     """The bits of a table's words as one literal, and their number."""
     n_bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (32 * words.agg(F.approx_count_distinct("word")).first()[0]).bit_length()))
     bits = words.select(F.explode(F.array(*_bits(F.col("word"), n_bits))).alias("bit"))
-    parts = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("flags")).toArrow()
-    known = ["0"] * (n_bits // 64)
-    for at, flags in zip(parts.column("at").to_pylist(), parts.column("flags").to_pylist(), strict=True):
-        known[at] = str(flags)
-    return F.split(F.lit(",".join(known)), ",").cast("array<bigint>"), n_bits
+    flags = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("flags"))
+    # a line for every ROW of them: a thousand lines at most
+    line = flags.groupBy(F.floor(F.col("at") / ROW).cast("int").alias("line")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at") % ROW, "flags"))).alias("m"))
+    shown = F.transform(F.sequence(F.lit(0), F.lit(ROW - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")).cast("string"))
+    lines = [",".join(["0"] * ROW)] * (n_bits // 64 // ROW)
+    for r in line.select("line", F.array_join(shown, ",").alias("text")).collect():
+        lines[r["line"]] = r["text"]
+    return F.split(F.lit(",".join(lines)), ",").cast("array<bigint>"), n_bits
 
 
 def _let_through(known: tuple[Column, int], words: Column) -> Column:
