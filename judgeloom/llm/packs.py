@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.folders import shared_folder
+from ..sources.folders import new_folder, shared_folder
 
 #: Bytes of text in a pack, unless one document is longer.
 PACK_BYTES = 2 << 20
@@ -52,12 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """df with a row number, stored, so that the numbers stay what they are;
-    and its column, which isn't one of df's."""
+    """df with a row number, written to the shared folder, so that the numbers
+    stay what they are; and its column, which isn't one of df's."""
     name = "_row"
     while name.lower() in (c.lower() for c in df.columns):
         name = f"_{name}"
-    return checkpointed(df.withColumn(name, F.monotonically_increasing_id())), name
+    folder = new_folder(df.sparkSession, "numbered")
+    df.withColumn(name, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder), name
 
 
 def without_rows(rows: DataFrame, name: str, dropped: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
