@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.folders import new_folder
-from . import decontaminate, exact_dedup, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, filter_audit, jaccard_join, line_quality, mixing, pii, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from .packs import checkpointed
 
 #: A public tokenizer's ranks on this machine; an argument everywhere else.
@@ -75,8 +75,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.failed_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = filter_audit.interactions(counts, "ABCDE")
+    return out.withColumnsRenamed({"quality_lost": "good_lost"})
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = line_quality.score(docs, line_quality.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_exact_dedup, op4_token_counts, op5_personal_data, op6_suffix_dedup, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_exact_dedup, op4_token_counts, op5_personal_data, op6_suffix_dedup, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_toxicity, op11_filter_audit, op12_embedding_whitening, op13_quality_classifier)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -217,5 +234,22 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(low.component,
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(step AS INT) AS step, substr(o, step, 1) AS x, substr(o, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5),
+g AS (SELECT part, filter_order, step, n, good, toxic, failed, x, contains(failed, x) AS fails, translate(failed, before, '') <> failed AS gone FROM c, s)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (failed = x), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(length(failed), 1)) FILTER (fails), 0) AS BIGINT) AS shapley
+FROM g GROUP BY part, filter_order, step
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_source_mix": mix_sql(), "op3_exact_dedup": OP3_SQL, "op5_personal_data": _op5_sql(), "op6_suffix_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_url_filter": _op9_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_source_mix": mix_sql(), "op3_exact_dedup": OP3_SQL, "op5_personal_data": _op5_sql(), "op6_suffix_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_url_filter": _op9_sql(), "op11_filter_audit": OP11_SQL}
