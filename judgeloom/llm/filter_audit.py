@@ -77,7 +77,8 @@ def refined(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that share all of keys with another one.  Classes are split by
     one key after the other; singletons leave after each."""
     for k in range(1, len(keys) + 1):
-        shared = rows.groupBy(*keys[:k]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        # stored apart, so that the join has an exchange on either side and Spark can split a common length
+        shared = P.checkpointed(rows.groupBy(*keys[:k]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
         rows = P.checkpointed(rows.join(shared, keys[:k], "left_semi"))
     return rows
 
