@@ -27,13 +27,13 @@ So copies in large numbers aren't expanded into pairs and no bound is a guess:
 every pair that reaches the threshold is either found or already connected.
 
 Results for odd inputs: null, empty or blank texts have no shingles and are
-linked with nothing; a text of fewer words than a shingle is one shingle; rows
-of one text, repeated ids included, have one class; rows with one id are one
-document, so that what is linked to any of their texts is linked to all; a null
-id sorts after all others: it is in its class, or else its own component (null)
-and linked with nothing; an empty table gives an empty table; other columns are
-ignored.  ``drop_near_copies`` goes by rows instead: there, ids may be null or
-repeated.
+linked with nothing; a text of fewer words than a shingle is one shingle.  All
+work is done on rows, by numbers of their own.  Rows of one id are one document:
+what is linked to any of them is linked to all, rows without words included.
+Each row of a null id is a document of its own, which links like any other; a
+component's id is the smallest id in it that isn't null, or null if there is
+none.  An empty table gives an empty table; other columns are ignored.
+``drop_near_copies`` goes by rows throughout.
 """
 
 from __future__ import annotations
@@ -154,15 +154,15 @@ def _class_ids(pack: P.Pack, n_buckets: int, keys: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Checkpointed (doc_id, size, rep_id) of all documents, rep_id the smallest
-    id with the same set; and (doc_id, size, tokens, keys) of representatives
-    that may have partners."""
+    """Checkpointed (row, id, size, rep) of all documents, rep the smallest row
+    with the same set; and (doc_id, size, tokens, keys) of representatives that
+    may have partners, doc_id being their row."""
     packs = P.pack(docs, P.lower_words_text, id_col, text_col)
     n_buckets = P.bucket_count(packs)
 
     def ask(pack: P.Pack) -> Iterator[P.Request]:
         sets = _Sets(pack, width)
-        a, b, low, _, _ = sets.digests(pack.ids)
+        a, b, low, _, _ = sets.digests(pack.rows)
         yield from P.requests(TOKENS, n_buckets, sets.prefix(t)[0])
         yield from P.requests(CLASSES, n_buckets, a, b, low)
 
@@ -171,27 +171,27 @@ def shingle_sets(docs: DataFrame, t: Threshold, width: int, id_col: str, text_co
         whose texts are tokens of eight bytes."""
         for pack in packs:
             sets = _Sets(pack, width)
-            a, _, _, place, with_set = sets.digests(pack.ids)
-            rep = pack.ids.copy()
+            a, _, _, place, with_set = sets.digests(pack.rows)
+            rep = pack.rows.copy()
             if len(with_set):
                 rep[with_set] = _class_ids(pack, n_buckets, a)[place]
             keys, where, at = sets.prefix(t)
             times = P.replied(pack, TOKENS, n_buckets, keys)[where] if len(at) else np.zeros(0, np.uint8)
             shared = np.bincount(sets.doc[at], weights=times > 1, minlength=len(pack.ids))
-            goes_on = np.flatnonzero((rep == pack.ids) & (pack.ids != P.NULL_ID) & (sets.size > 0) & (shared >= t.needed(sets.size)))
+            goes_on = np.flatnonzero((rep == pack.rows) & (sets.size > 0) & (shared >= t.needed(sets.size)))
             n = len(pack.ids)
             none = [None] * n
             tokens = b"".join(sets.hashes[sets.first[i] : sets.first[i] + sets.size[i]].tobytes() for i in goes_on.tolist())
-            ids, sizes = pack.ids[goes_on], 8 * sets.size[goes_on]
+            rows, sizes = pack.rows[goes_on], 8 * sets.size[goes_on]
             columns = [
-                pa.concat_arrays([P.ids_out(pack.ids), pa.nulls(1, pa.int64())]), pa.concat_arrays([pa.array(sets.size), pa.nulls(1, pa.int64())]), pa.concat_arrays([P.ids_out(rep), pa.nulls(1, pa.int64())]),
-                *(pa.array([*none, x], pa.int64()) for x in (pack.group_id, pack.pack_id, len(tokens))), *(pa.array([*none, x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), P.squeeze(tokens)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "rep_id", "group_id", "pack_id", "n_bytes", "ids", "sizes", "text"])
+                *(pa.concat_arrays([x, pa.nulls(1, pa.int64())]) for x in (pa.array(pack.rows), P.ids_out(pack.ids), pa.array(sets.size), pa.array(rep))),
+                *(pa.array([*none, x], pa.int64()) for x in (pack.group_id, pack.pack_id, len(tokens))), *(pa.array([*none, x], pa.binary()) for x in (rows.tobytes(), sizes.tobytes(), P.squeeze(tokens)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "size", "rep", "group_id", "pack_id", "n_bytes", "ids", "sizes", "text"])
 
     replies = P.exchange(P.requested(packs, n_buckets, ask), n_buckets, _answer)
-    mixed = P.checkpointed(P.finished(packs, n_buckets, survivors, f"doc_id long, size long, rep_id long, {P.PACK_SCHEMA}", replies))
-    every = mixed.where("pack_id is null").select("doc_id", "size", "rep_id")
-    left = mixed.where("pack_id is not null").drop("doc_id", "size", "rep_id")
+    mixed = P.checkpointed(P.finished(packs, n_buckets, survivors, f"row long, id long, size long, rep long, {P.PACK_SCHEMA}", replies))
+    every = mixed.where("pack_id is null").select("row", "id", "size", "rep")
+    left = mixed.where("pack_id is not null").drop("row", "id", "size", "rep")
     return every, _promising(left, t)
 
 
@@ -403,9 +403,27 @@ def similar_components(docs: DataFrame, share: Fraction | str = "0.75", shingle:
         return _edges(_links_to(_Block(c["doc_id"], c["tokens"]), c["group"], c["query"], t))
 
     across = asked.unionByName(held).join(tokens.select("doc_id", "tokens"), "doc_id").groupBy("home", "part", "chunk").applyInArrow(search, "a long, b long")
-    labels = components(edges.unionByName(P.checkpointed(across)))
-    named = P.looked_up(sets.select("doc_id", F.col("size").alias("n_shingles"), "rep_id"), labels.withColumnRenamed("id", "rep_id"), "rep_id")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "rep_id").alias("component_id"))
+    return _named(sets, components(edges.unionByName(P.checkpointed(across)).unionByName(_of_one_id(sets))))
+
+
+def _of_one_id(sets: DataFrame) -> DataFrame:
+    """Edges between the classes of rows that have one id."""
+    there = sets.where("id is not null").select("id", F.col("rep").alias("a"))
+    several = P.checkpointed(there.groupBy("id").agg(F.min("a").alias("b"), F.max("a").alias("high")).where("b < high").select("id", "b"))
+    if several.isEmpty():
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    return P.checkpointed(P.looked_up(there, several, "id").where("b < a").select("a", "b").distinct())
+
+
+def _named(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all rows, from their classes and
+    the classes' labels.  Rows alone in class and component need no lookup."""
+    classes = sets.groupBy("rep").agg(F.min("id").alias("low"), F.count("*").alias("n")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    joined = P.checkpointed(classes.where("n > 1 or component is not null").select("rep", F.coalesce("component", "rep").alias("component"), "low"))
+    lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = P.checkpointed(P.looked_up(joined.select("rep", "component"), lows, "component").select("rep", "component_id", F.lit(True).alias("named")))
+    out = P.looked_up(sets, named, "rep")
+    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("named"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _labelled(homes: DataFrame, edges: DataFrame) -> DataFrame:

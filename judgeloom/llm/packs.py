@@ -144,6 +144,7 @@ def _packer(prepare: Callable[[bytes], bytes], pack_bytes: int, group_bytes: int
 
         def flush() -> pa.RecordBatch:
             nonlocal made, ids, texts, size, group, held, room
+            # packs are numbered by their first row, so that rows have numbers too
             sizes = np.array([len(t) for t in texts], np.int64)
             if held and held + size > room:
                 group, held, room = first + made, 0, min(2 * room, group_bytes)
@@ -156,7 +157,7 @@ def _packer(prepare: Callable[[bytes], bytes], pack_bytes: int, group_bytes: int
                 "sizes": [sizes.tobytes()],
                 "text": [squeeze(b"".join(texts))],
             }
-            made, ids, texts, size = made + 1, [], [], 0
+            made, ids, texts, size = made + len(ids), [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=list(row))
 
         for batch in batches:
@@ -200,6 +201,8 @@ class Pack:
         self.buf = np.frombuffer(text, np.uint8)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
+        #: Numbers of the documents' rows, the same whenever the pack is read.
+        self.rows = pack_id + np.arange(len(ids))
         #: (level, bucket) -> codes
         self.replies: dict[tuple[int, int], np.ndarray] = {}
 

@@ -65,7 +65,7 @@ def test_rows_of_one_id_are_one_document(spark, base):
     other = words(random.Random(9), 60)
     docs = spark.createDataFrame([(1, base), (1, other), (2, near(base)), (3, near(other)), (None, near(near(base)))], "doc_id long, text string")
     out = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.similar_components(docs).collect())
-    assert out == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert out == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
 
 
 def test_passages_with_null_and_repeated_ids(spark, base):
@@ -193,3 +193,58 @@ def test_long_lists_of_terms_are_kept_whole(spark):
     docs = table(spark, rows)
     found = toxicity.score(docs, toxicity.learn(docs, labels))
     assert found.where("doc_id < 900000 and score < 0.7").isEmpty() and found.where("doc_id >= 900000 and score >= 0.7").isEmpty()
+
+
+def by_links(rows, share=0.75):
+    """component_id of each row, by all pairs of rows."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            linked = sets[a] and sets[b] and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])
+            if linked or (rows[a][0] is not None and rows[a][0] == rows[b][0]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(i, low.get(find(k), i))
+    return sorted((str(i), len(sets[k]), str(low.get(find(k)))) for k, (i, _) in enumerate(rows))
+
+
+def linked(spark, rows, parts=3):
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(parts)
+    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.similar_components(docs).collect())
+
+
+def test_links_through_repeated_and_null_ids(spark, base):
+    a, b = base, words(random.Random(30), 60)
+    repeated = [(3, a), (5, a), (5, b), (7, b)]
+    assert {c for _, _, c in linked(spark, repeated)} == {"3"} and linked(spark, repeated) == by_links(repeated)
+    nulls = [(None, a), (None, near(a)), (4, a + " another end")]
+    assert {c for _, _, c in linked(spark, nulls)} == {"4"} and linked(spark, nulls) == by_links(nulls)
+    through = [(9, a), (None, a + " tail"), (2, " ".join(a.split()[4:]) + " tail of it"), (9, None), (8, ""), (None, ""), (None, "alone")]
+    assert linked(spark, through) == by_links(through)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_of_random_ids(spark, seed):
+    rng = random.Random(seed)
+    bases = [words(rng, rng.choice([3, 5, 8, 30, 60])) for _ in range(25)]
+
+    def varied(text):
+        w = text.split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        return " ".join(w)
+
+    rows = [(rng.choice([None, rng.randrange(40)]) if rng.random() < 0.4 else 100 + k, rng.choice([None, "", varied(rng.choice(bases)), varied(rng.choice(bases)), rng.choice(bases)])) for k in range(150)]
+    assert linked(spark, rows, 5) == by_links(rows)
