@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import arrays as A
 from ..operators import intervals
 from ..operators import layout as L
-from ..sources import assets, json_files, stores
+from ..sources import assets, json_files, shard_store, stores
 from ..sources.folders import new_folder
 from ..sources.tables import table
 from ..streaming import resume
@@ -157,9 +157,8 @@ def merged_parts(spark: SparkSession, d: str) -> DataFrame:
 def record_by_index(spark: SparkSession, d: str) -> DataFrame:
     """Records from their own shards; a negative index counts from the end."""
     path, docs = new_folder(spark, "shards"), table(spark, d, "documents").select(F.col("doc_id").alias("record_index"), "lang")
-    json_files.write_shards(docs, path, size=100)
-    n = docs.agg(F.max("record_index") + 1).first()[0]
-    return json_files.read_record(spark, path, 0, n, size=100).unionByName(json_files.read_record(spark, path, 7, n, size=100)).unionByName(json_files.read_record(spark, path, -1, n, size=100))
+    shard_store.write_store(docs, path, size=100)
+    return shard_store.read_at(spark, path, 0, 7, -1)
 
 
 _LENGTHS = "list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w))"
