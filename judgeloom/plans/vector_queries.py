@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import arrays as A
 from ..operators import layout as L
+from ..operators import matching
+from ..operators import reconstruct as R
 from ..operators import vectors as V
 from ..sources.tables import table
 from .measure_queries import _EDGES_SQL, _edges
@@ -185,3 +187,49 @@ def induction_matrix(spark: SparkSession, d: str) -> DataFrame:
     t = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.when(F.length(w) == 1, 1).when(F.length(w) == 2, 2).otherwise(0))
     rows = table(spark, d, "benchmark").select("item_id", t.alias("kinds"), F.posexplode(t).alias("position", "own"))
     return rows.select("item_id", "position", F.array_join(L.mask_row(F.col("kinds"), F.col("position"), F.col("own")).cast("array<string>"), "").alias("keep"))
+
+
+_SCORES = "list_dot_product(h.embedding::DOUBLE[], w.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(h.embedding::DOUBLE[], h.embedding::DOUBLE[])), 1e-12) / greatest(sqrt(list_dot_product(w.embedding::DOUBLE[], w.embedding::DOUBLE[])), 1e-12) / 0.05"
+
+
+@query(f"""
+WITH z AS (SELECT h.vec_id AS id, w.vec_id AS word, {_SCORES} AS z FROM embeddings h, embeddings w), p AS (SELECT id, word, exp(z - max(z) OVER (PARTITION BY id)) AS p FROM z),
+e AS (SELECT vec_id AS word, unnest(embedding)::DOUBLE AS x, len(embedding) - unnest(range(len(embedding))) - 1 AS dim FROM embeddings)
+SELECT id, CAST(dim AS INT) AS dim, round(sum(p * x) / sum(p), 5) + 0.0 AS v FROM p JOIN e USING (word) GROUP BY id, dim
+""")
+def vocabulary_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as a mean of all vectors (turned around), weighted by a
+    softmax over all of them."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("h"))
+    words = v.select(F.col("id").alias("word"), F.col("h").alias("w"), F.reverse("h").alias("e"))
+    out = R.reconstructed(v, words, cosine=True, temperature=0.05)
+    return out.select("id", F.posexplode("v").alias("dim", "v")).select("id", "dim", (F.round("v", 5) + 0.0).alias("v"))
+
+
+_TOKEN = "(ascii(w) * 31 + length(w) * 7) % (SELECT count(*) FROM embeddings)"
+
+
+@query(f"""
+WITH x AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, list_transform(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda w: w) AS ws FROM conversations),
+t AS (SELECT id, conv_id, turn, {_TOKEN} AS token FROM (SELECT id, conv_id, turn, unnest(ws) AS w FROM x)),
+pair AS (SELECT a.id, a.conv_id, a.turn FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
+c AS (SELECT pair.id, token, count(*) AS n FROM pair JOIN t USING (id) GROUP BY ALL), r AS (SELECT pair.id, token, count(*) AS n FROM pair JOIN t ON t.conv_id = pair.conv_id AND t.turn = pair.turn + 1 GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM pair), df AS (SELECT token, count(*) AS df FROM r GROUP BY token), idf AS (SELECT vec_id AS token, ln((total.n + 1.0) / (coalesce(df, 0) + 1)) AS idf FROM embeddings LEFT JOIN df ON vec_id = token, total),
+u AS (SELECT vec_id AS token, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+s AS (SELECT c.id, c.token AS a, r.token AS b, c.n AS na, r.n AS nb, CASE WHEN c.token = r.token THEN 1.0 ELSE list_dot_product(ua.u, ub.u) END AS cos FROM c JOIN r USING (id) JOIN u ua ON ua.token = c.token JOIN u ub ON ub.token = r.token),
+p AS (SELECT id, sum(m * na * idf) / sum(na * idf) AS p FROM (SELECT id, a AS token, any_value(na) AS na, max(cos) AS m FROM s GROUP BY ALL) JOIN idf USING (token) GROUP BY id),
+q AS (SELECT id, sum(m * nb * idf) / sum(nb * idf) AS r FROM (SELECT id, b AS token, any_value(nb) AS nb, max(cos) AS m FROM s GROUP BY ALL) JOIN idf USING (token) GROUP BY id)
+SELECT pair.id, round(coalesce(p, 0), 5) AS "precision", round(coalesce(r, 0), 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1 FROM pair LEFT JOIN p USING (id) LEFT JOIN q USING (id)
+""")
+def token_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn of a conversation against the next one, words standing for the
+    given vectors."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("token"), F.col("embedding").alias("vector"))
+    n = vectors.count()
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    tokens = F.transform(words, lambda w: ((F.ascii(w) * 31 + F.length(w) * 7) % n).cast("string"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", tokens.alias("tokens"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tokens").alias("reference"))
+    pairs = turns.join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("tokens").alias("candidate"), "reference")
+    out = matching.matched(pairs, vectors)
+    return out.select("id", *(F.round(c, 5).alias(c) for c in ("precision", "recall", "f1")))

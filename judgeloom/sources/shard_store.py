@@ -8,11 +8,17 @@ each under a name of its own attempt; the driver then checks that every range of
 writes ``manifest.json``.  So a store is finished if it has a manifest, and a
 task that runs twice leaves one shard.  An aborted write leaves nothing.
 
-``spark.read.format("shards")`` has a partition for each shard and takes filters
-on ``record_index`` (=, <, <=, >, >=, in), so that only the shards that can have
-such records are opened, and of their columns only those of the schema that is
-asked for.  A folder without a manifest is an error, as is a shard whose
-rows aren't its range.
+``spark.read.format("shards")`` has a partition for each shard.  The options
+``low``, ``high`` (not included) and ``indices`` bound the records, so that only
+their shards are opened; of the columns only those of the schema that is asked
+for.  With the option ``pushdown``, which asks for Spark's setting
+``spark.sql.python.filterPushdown.enabled``, filters on ``record_index`` (=, <,
+<=, >, >=, in) do the same.  Spark 4.1 then keeps for a loaded frame the shards
+of the first plan that was made of it, whatever the next one's filter: such a
+frame serves for one filter.  So ``read_store`` and ``read_at`` use the bounds.
+
+A folder without a manifest is an error, as is a shard whose rows aren't its
+range.
 
 Paths are local or on any file system that pyarrow opens by its address.
 """
@@ -85,9 +91,32 @@ class Written(WriterCommitMessage):
 
 
 class ShardReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType) -> None:
+    def __init__(self, path: str, schema: StructType, low: int = 0, high: int | None = None, wanted: set[int] | None = None) -> None:
         self.path, self.schema = path, schema
-        self.low, self.high, self.wanted = 0, None, None
+        self.low, self.high, self.wanted = low, high, wanted
+
+    def partitions(self) -> Sequence[InputPartition]:
+        told = read_manifest(self.path)
+        high = told["num_records"] if self.high is None else self.high
+        of = None if self.wanted is None else {v // told["shard_size"] for v in self.wanted if self.low <= v < high}
+        shards = [Shard(s["start"], s["end"], s["file"]) for s in told["shards"] if s["start"] < high and s["end"] > self.low and (of is None or s["start"] // told["shard_size"] in of)]
+        return shards or [Shard(0, 0, "")]
+
+    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+        if not partition.name:
+            return
+        files, root = _opened(self.path)
+        want = to_arrow_schema(self.schema)
+        with files.open_input_file(f"{root}/{partition.name}") as f:
+            shard = pq.ParquetFile(f)
+            if shard.metadata.num_rows != partition.end - partition.start:
+                raise RuntimeError(f"{partition.name} has {shard.metadata.num_rows} records")
+            for batch in shard.iter_batches(columns=want.names):
+                yield pa.RecordBatch.from_arrays([batch.column(n).cast(t) for n, t in zip(want.names, want.types, strict=True)], schema=want)
+
+
+class FilteredShardReader(ShardReader):
+    """One that takes filters; Spark asks for its setting then."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  Spark's name
         """Takes what bounds the index; Spark checks all filters again."""
@@ -114,28 +143,6 @@ class ShardReader(DataSourceReader):
         if high is not None:
             self.high = high if self.high is None else min(self.high, high)
 
-    def partitions(self) -> Sequence[InputPartition]:
-        shards = [Shard(s["start"], s["end"], s["file"]) for s in read_manifest(self.path)["shards"]]
-        high = self.high if self.high is not None else max([0, *(s.end for s in shards)])
-        shards = [s for s in shards if s.start < high and s.end > self.low]
-        if self.wanted is not None:
-            size = read_manifest(self.path)["shard_size"]
-            of = {v // size for v in self.wanted if self.low <= v < high}
-            shards = [s for s in shards if s.start // size in of]
-        return shards or [Shard(0, 0, "")]
-
-    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
-        if not partition.name:
-            return
-        files, root = _opened(self.path)
-        want = to_arrow_schema(self.schema)
-        with files.open_input_file(f"{root}/{partition.name}") as f:
-            shard = pq.ParquetFile(f)
-            if shard.metadata.num_rows != partition.end - partition.start:
-                raise RuntimeError(f"{partition.name} has {shard.metadata.num_rows} records")
-            for batch in shard.iter_batches(columns=want.names):
-                yield pa.RecordBatch.from_arrays([batch.column(n).cast(t) for n, t in zip(want.names, want.types, strict=True)], schema=want)
-
 
 class ShardWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, size: int, settings: dict) -> None:
@@ -247,8 +254,9 @@ def shard_faults(files: DataFrame, records: DataFrame, store: str = "store", nam
 
 
 class ShardSource(DataSource):
-    """Format ``shards``; options: path, shardsize, settings (JSON, kept in the
-    manifest)."""
+    """Format ``shards``; options to write: path, shardsize, settings (JSON, kept
+    in the manifest); to read: path, low, high, indices,
+    pushdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -258,7 +266,10 @@ class ShardSource(DataSource):
         return StructType.fromJson(read_manifest(self.options["path"])["schema"])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ShardReader(self.options["path"], schema)
+        o = self.options
+        wanted = {int(k) for k in o["indices"].split(",") if k} if "indices" in o else None
+        kind = FilteredShardReader if o.get("pushdown", "false") == "true" else ShardReader
+        return kind(o["path"], schema, int(o.get("low", 0)), int(o["high"]) if "high" in o else None, wanted)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         path, size = self.options["path"], int(self.options.get("shardsize", SHARD_SIZE))
@@ -272,7 +283,6 @@ class ShardSource(DataSource):
 
 def registered(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(ShardSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
@@ -296,15 +306,23 @@ def write_store(rows: DataFrame, path: str, size: int = SHARD_SIZE, settings: di
     return read_manifest(path)
 
 
-def read_store(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """The records, or some of their columns."""
-    reader = registered(spark).read.format("shards").option("path", path)
+def _load(spark: SparkSession, path: str, columns: tuple[str, ...] = (), **options) -> DataFrame:
+    reader = registered(spark).read.format("shards").option("path", path).options(**options)
     if columns:
         whole = StructType.fromJson(read_manifest(path)["schema"])
         reader = reader.schema(StructType([whole[c] for c in columns]))
     return reader.load()
 
 
+def read_store(spark: SparkSession, path: str, *columns: str, low: int = 0, high: int | None = None) -> DataFrame:
+    """The records from low up to high (not included), or some of their columns."""
+    if columns and INDEX not in columns:
+        return read_store(spark, path, INDEX, *columns, low=low, high=high).drop(INDEX)
+    bounds = {"low": low} | ({} if high is None else {"high": high})
+    within = F.col(INDEX) >= low
+    return _load(spark, path, columns, **bounds).where(within if high is None else within & (F.col(INDEX) < high))
+
+
 def read_at(spark: SparkSession, path: str, *at: int) -> DataFrame:
     """Records by their index, negative ones from the end; one beyond the store
     is an error.  Only their shards are read."""
@@ -312,4 +330,5 @@ def read_at(spark: SparkSession, path: str, *at: int) -> DataFrame:
     for k in at:
         if not -n <= k < n:
             raise IndexError(k)
-    return read_store(spark, path).where(F.col(INDEX).isin([k % n for k in at]))
+    wanted = sorted({k % n for k in at})
+    return _load(spark, path, indices=",".join(map(str, wanted))).where(F.col(INDEX).isin(wanted))

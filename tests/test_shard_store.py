@@ -34,8 +34,25 @@ def test_round_trip_and_manifest(spark, store):
 
 @pytest.mark.parametrize(("where", "n", "shards"), [("record_index = 731", 1, 1), ("record_index in (5, 99, 2499)", 3, 2), ("record_index >= 2450", 50, 1), ("record_index > 1199 and record_index <= 1305", 106, 2), ("record_index < 0", 0, 1), ("name = 'r7'", 1, 25), ("record_index < 250 and name like '%7'", 25, 3)])
 def test_only_shards_that_a_filter_needs(spark, store, where, n, shards):
-    rows = S.read_store(spark, store).where(where)
-    assert shards_read(rows) == shards and rows.count() == n
+    name = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(name, "true")
+    try:
+        rows = S.registered(spark).read.format("shards").option("path", store).option("pushdown", True).load().where(where)
+        assert shards_read(rows) == shards and rows.count() == n
+    finally:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize(("low", "high", "n", "shards"), [(0, None, 2500, 25), (120, 334, 214, 3), (2450, None, 50, 1), (700, 700, 0, 1), (2500, 9000, 0, 1)])
+def test_only_shards_of_a_range(spark, store, low, high, n, shards):
+    rows = S.read_store(spark, store, low=low, high=high)
+    assert shards_read(rows) <= shards and rows.count() == n and {r["record_index"] for r in rows.collect()} == set(range(low, min(2500, high if high is not None else 2500)))
+
+
+def test_one_frame_under_several_filters(spark, store):
+    rows = S.read_store(spark, store)
+    assert rows.where("record_index < 10").unionByName(rows.where("record_index >= 2490")).count() == 20
+    assert rows.where("record_index = 3").count() == 1 and rows.count() == 2500
 
 
 def test_other_shards_need_not_be_there(spark, store):
