@@ -194,25 +194,35 @@ def generation_quality(rows: DataFrame, key: str) -> DataFrame:
         (F.sum(F.col("exact").cast("int")) / n).alias("exact_match"), (F.sum("predicted") / total("whole")).alias("length_ratio"), (F.sum("target") / total("whole")).alias("coverage"))
 
 
+def _counted(xs: Column, side: int) -> Column:
+    """(token, side, times) of each distinct token, by where its run in the
+    sorted array starts; in the time of a sort."""
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.coalesce(F.get(s, i - 1), x)), i)), lambda i: i.isNotNull())
+    runs = lambda s: A.let(starts(s), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), F.lit(side).alias("side"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))
+    return A.let(F.array_sort(xs), runs)
+
+
+def bag_overlap(a: Column, b: Column) -> Column:
+    """How many tokens two bags share: the i-th of equal tokens meets the i-th.
+    Null tokens are left out."""
+    known = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    both = F.array_sort(F.concat(_counted(known(a), 0), _counted(known(b), 1)))
+    # a token that both have stands beside itself
+    meet = lambda xs: F.zip_with(xs, F.slice(xs, F.lit(2), F.greatest(F.size(xs), F.lit(1))), lambda x, y: F.when(x["token"] == y["token"], F.least(x["n"], y["n"])).otherwise(0))
+    return F.aggregate(A.let(both, meet), F.lit(0), lambda s, n: s + F.coalesce(n, F.lit(0)))
+
+
 def bag_f1(a: Column, b: Column) -> Column:
     """F1 of two bags of tokens; one if both are empty, zero if one is."""
-    # the i-th of equal tokens meets the i-th: sorted, numbered by equal ones, intersected
-    runs = lambda xs: F.map_from_entries(F.transform(F.array_distinct(xs), lambda x: F.struct(x, F.size(F.filter(xs, lambda y: y == x)))))
-    shared = lambda ma, mb: F.aggregate(F.map_keys(ma), F.lit(0), lambda s, k: s + F.least(F.try_element_at(ma, k), F.coalesce(F.try_element_at(mb, k), F.lit(0))))
-    both = A.let(runs(a), lambda ma: A.let(runs(b), lambda mb: shared(ma, mb)))
     empty = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(empty, (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+    return F.when(empty, (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * bag_overlap(a, b) / (F.size(a) + F.size(b)))
 
 
 def word_f1(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, candidate, reference) with the F1 of their words; a row's
-    words are counted where it is read, before anything is shuffled."""
-    tagged = lambda c, x: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("w"), F.lit(x).alias("x")))
-    words = rows.select("doc_id", F.explode(F.concat(tagged(F.col("candidate"), 1), tagged(F.col("reference"), 0))).alias("e"))
-    counts = words.groupBy("doc_id", "e.w").agg(F.sum("e.x").alias("a"), F.sum(1 - F.col("e.x")).alias("b"))
-    sums = counts.groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    f1 = F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(2.0 * F.col("both") / (F.col("na") + F.col("nb")))
-    return rows.join(sums.select("doc_id", f1.alias("f1")), "doc_id", "left")
+    """rows(doc_id, candidate, reference) with the F1 of their words, each row
+    by itself; null sides count as empty, and two empty sides are alike."""
+    words = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    return rows.withColumn("f1", bag_f1(words("candidate"), words("reference")))
 
 
 def semantic_scores(rows: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame] = word_f1) -> DataFrame:

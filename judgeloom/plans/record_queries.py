@@ -49,8 +49,8 @@ def skipped_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, {_WINNER} AS w, 'Reason: ' || regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS j, CASE doc_id % 9 WHEN 6 THEN ' and the winner: B' ELSE '' END AS tail, lang, source FROM documents WHERE NOT contains(lower(coalesce(text, '')), 'winner:')),
-f AS (SELECT *, CASE WHEN doc_id % 23 = 5 THEN 'task marker' WHEN doc_id % 9 = 6 THEN 'winner lines: 0' WHEN doc_id % 9 = 7 THEN 'winner lines: 2' WHEN doc_id % 9 = 5 THEN 'winner label' END AS fault FROM r)
+WITH r AS (SELECT doc_id, {_WINNER} AS w, 'Reason: ' || regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS j, CASE doc_id % 9 WHEN 6 THEN ' and the winner: B' ELSE '' END AS tail, lang, source, contains(lower(coalesce(text, '')), 'winner:') AS has FROM documents),
+f AS (SELECT *, CASE WHEN doc_id % 23 = 5 THEN 'task marker' WHEN doc_id % 9 = 6 OR (has AND doc_id % 9 NOT IN (4, 5, 7)) THEN 'winner lines: 0' WHEN doc_id % 9 = 7 THEN 'winner lines: 2' WHEN doc_id % 9 = 5 THEN 'winner label' END AS fault FROM r)
 SELECT doc_id, fault, CASE WHEN fault IS NULL THEN CASE WHEN doc_id % 9 = 4 THEN 'Response B' WHEN doc_id % 6 IN (0, 2, 5) THEN 'Response A' ELSE 'Response B' END END AS cot_answer, CASE WHEN fault IS NULL THEN sha256(trim(j)) END AS cot_sha256,
   CASE WHEN fault IS NULL THEN 'Judge.' || chr(10) || chr(10) || 'Task to Evaluate:' || chr(10) || 'Instruction:' || chr(10) || CASE WHEN doc_id % 11 = 1 THEN '' ELSE 'Ask ' || doc_id END || chr(10) || 'Rubric:' || chr(10) || 'A rubric' || chr(10) || 'Response A:' || chr(10) || CASE WHEN doc_id % 17 = 3 THEN '' ELSE lang END || chr(10) || 'Response B:' || chr(10) || source END AS problem
 FROM f WHERE doc_id % 13 <> 2
@@ -58,8 +58,7 @@ FROM f WHERE doc_id % 13 <> 2
 def training_records(spark: SparkSession, d: str) -> DataFrame:
     """Judges' texts with one line that names the winner, without any, with two,
     or with one that isn't a line of its own."""
-    rows = _raw(spark, d).where("rubric is not null").join(table(spark, d, "documents").where(~F.lower(F.coalesce("text", F.lit(""))).contains("winner:")).select("doc_id"), "doc_id", "left_semi")
-    return records.training_records(rows, "doc_id", "Judge.").select("doc_id", "fault", "cot_answer", F.sha2(F.col("cot").cast("binary"), 256).alias("cot_sha256"), "problem")
+    return records.training_records(_raw(spark, d).where("rubric is not null"), "doc_id", "Judge.").select("doc_id", "fault", "cot_answer", F.sha2(F.col("cot").cast("binary"), 256).alias("cot_sha256"), "problem")
 
 
 @query(f"""
@@ -209,16 +208,15 @@ def chat_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LEXEME = r"\p{Nd}+(?:[.,]\p{Nd}+)+|[\p{L}\p{M}\p{Nd}\p{Pc}]+(?:['’][\p{L}\p{M}\p{Nd}\p{Pc}]+)*"
-_BINDS = r"(?i)\b(?:because|although|unless|whereas|however|therefore|but|and|or|if|not|never|no)\b"
+_BINDS = "because although unless whereas however therefore but and or if not never no".split()
 
 
-@query(f"SELECT doc_id, CAST(len(w) AS INT) AS lexemes, sha256(array_to_string(w, '|')) AS lexemes_sha256, CAST(len(regexp_extract_all(x, '{_BINDS}')) AS INT) AS connectives FROM (SELECT doc_id, x, regexp_extract_all(x, '{_LEXEME.replace(chr(39), chr(39) * 2)}') AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', ' ', 'g') AS x FROM documents))")
+@query(f"SELECT doc_id, CAST(len(w) AS INT) AS lexemes, sha256(array_to_string(w, '|')) AS lexemes_sha256, CAST(len(list_filter(w, lambda x: lower(x) IN {tuple(_BINDS)})) AS INT) AS connectives FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_LEXEME.replace(chr(39), chr(39) * 2)}') AS w FROM documents)")
 def lexemes(spark: SparkSession, d: str) -> DataFrame:
-    """Words and numbers as they are kept whole, and the words that bind; on the
-    ASCII part of texts, where both engines agree on what a word's edge is."""
-    x = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", " ")
-    w = F.regexp_extract_all(x, F.lit(_LEXEME), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.size(w).alias("lexemes"), F.sha2(F.array_join(w, "|").cast("binary"), 256).alias("lexemes_sha256"), F.size(F.regexp_extract_all(x, F.lit(_BINDS), F.lit(0))).alias("connectives"))
+    """Words and numbers as they are kept whole, and those that bind."""
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_LEXEME), F.lit(0))
+    found = table(spark, d, "documents").select("doc_id", w.alias("w"))
+    return found.select("doc_id", F.size("w").alias("lexemes"), F.sha2(F.array_join("w", "|").cast("binary"), 256).alias("lexemes_sha256"), F.size(F.filter("w", lambda x: F.lower(x).isin(_BINDS))).alias("connectives"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey * 10 AS BIGINT) AS start, CAST(o_orderkey * 10 + o_custkey AS BIGINT) AS stop, CAST(3 AS INT) AS names FROM orders")

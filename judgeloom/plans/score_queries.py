@@ -109,12 +109,8 @@ def criterion_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("records", "criteria", "labels", "full_records", *[F.round(c, 6).alias(c) for c in ("coverage", "accuracy", "macro_f1", "vector_exact", "semantic_coverage")])
 
 
-#: Targets are cut off at so many tokens.
-_CAP = 64
-
-
 @query(f"""
-WITH h AS (SELECT doc_id, list_transform(a, lambda w: length(w))[1:{_CAP}] AS a, list_transform(b, lambda w: length(w))[1:{_CAP}] AS b, len(b) AS whole FROM ({_HALVES_SQL})),
+WITH h AS (SELECT doc_id, list_transform(a, lambda w: length(w)) AS a, list_transform(b, lambda w: length(w)) AS b, len(b) AS whole FROM ({_HALVES_SQL})),
 e AS (SELECT doc_id, a, b, whole, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]) AS eq FROM h),
 c AS (SELECT doc_id, sum(least(x, y)) AS o FROM (SELECT doc_id, w, sum(x) AS x, sum(y) AS y FROM (SELECT doc_id, unnest(a) AS w, 1 AS x, 0 AS y FROM h UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM h) GROUP BY ALL) GROUP BY doc_id),
 m AS (SELECT e.doc_id, coalesce(nullif(list_position(eq, false), 0) - 1, len(eq)) AS prefix, len(list_filter(eq, lambda x: x)) AS aligned, CASE WHEN len(a) = 0 OR len(b) = 0 THEN CASE WHEN len(a) = len(b) THEN 1.0 ELSE 0.0 END ELSE 2.0 * o / (len(a) + len(b)) END AS f1, a = b AS exact, len(a) AS predicted, len(b) AS target, whole FROM e LEFT JOIN c USING (doc_id))
@@ -122,9 +118,8 @@ SELECT lang, CAST(count(*) AS BIGINT) AS examples, round(sum(prefix) / count(*),
 FROM m JOIN documents USING (doc_id) GROUP BY lang
 """)
 def generation_quality(spark: SparkSession, d: str) -> DataFrame:
-    """First halves as predictions of second ones, both cut off; by language.
-    The cap is the feature: generation stops there."""
-    ids = lambda c: F.slice(F.transform(c, lambda w: F.length(w)), 1, _CAP)
+    """First halves as predictions of second ones, by language."""
+    ids = lambda c: F.transform(c, lambda w: F.length(w))
     rows = _halves(spark, d).select("doc_id", ids("a").alias("a"), ids("b").alias("b"), F.size("b").alias("whole"))
     both = F.least(F.size("a"), F.size("b"))
     eq = F.zip_with(F.slice("a", F.lit(1), both), F.slice("b", F.lit(1), both), lambda x, y: x == y)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import shard_store
+from ..sources import json_files, shard_store
 from ..sources.folders import new_folder
 from ..sources.tables import table
 from ..streaming import keyed
@@ -73,3 +73,37 @@ def session_latency(spark: SparkSession, d: str) -> DataFrame:
         (placed.where(F.col("part") == k).select("user_id", "ts", "event_type") if k < 3 else closing).write.parquet(f"{folder}/in/{k}")
         keyed.run_latencies(spark, f"{folder}/in/*", "user_id long, ts timestamp, event_type string", f"{folder}/log", f"{folder}/state", "user_id", "ts", F.col("event_type") == "click", 24 * 3_600_000, "1 hour")
     return spark.read.parquet(f"{folder}/log")
+
+
+_LINES = "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS number, CASE WHEN doc_id % 50 = 7 THEN 'malformed' WHEN doc_id % 50 = 11 THEN 'blank' WHEN doc_id % 50 = 19 THEN 'not_object' ELSE 'ok' END AS state FROM documents"
+
+
+def _spoilt_log(spark: SparkSession, d: str, name: str, **options) -> str:
+    """Documents as JSON lines, a file a language, with faults."""
+    path, k = new_folder(spark, name), F.col("doc_id") % 50
+    whole = F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"})
+    line = F.when(k == 7, F.substring(whole, 1, 12)).when(k == 11, " ").when(k == 19, "[1]").otherwise(whole)
+    rows = table(spark, d, "documents").select("doc_id", "lang", line.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
+    rows.select("lang", "value").write.options(**options).partitionBy("lang").text(path)
+    return path
+
+
+@query(f"SELECT lang, number, state FROM ({_LINES}) WHERE state <> 'ok'")
+def line_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Where the faults of a log are, by language and line; its files are read in
+    splits of many sizes, or as one where they are compressed."""
+    lang = F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang")
+    states = json_files.line_states(spark, _spoilt_log(spark, d, "faults"))
+    zipped = json_files.line_states(spark, _spoilt_log(spark, d, "faults", compression="gzip"))
+    both = states.where("state <> 'ok'").select(lang, "number", "state").intersect(zipped.where("state <> 'ok'").select(lang, "number", "state"))
+    return both
+
+
+@query(f"SELECT lang, CAST(count(*) AS BIGINT) AS rows, CAST((SELECT count(*) FROM ({_LINES}) WHERE state = 'malformed') AS BIGINT) AS skipped, CAST((SELECT count(*) FROM ({_LINES}) WHERE state = 'blank') AS BIGINT) AS blank FROM documents WHERE doc_id % 50 NOT IN (7, 11, 19) GROUP BY lang")
+def counted_on_the_way(spark: SparkSession, d: str) -> DataFrame:
+    """A log read leniently; what is skipped is counted in the pass that reads."""
+    rows, seen = json_files.read_counted(spark, _spoilt_log(spark, d, "counted"), "doc_id long, text string")
+    folder = new_folder(spark, "read")
+    rows.write.parquet(folder)
+    read = spark.read.parquet(folder).where("doc_id is not null").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return read.groupBy("lang").agg(F.count("*").alias("rows")).withColumns({n: F.lit(seen.get[n]).cast("long") for n in ("skipped", "blank")})

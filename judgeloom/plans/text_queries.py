@@ -55,10 +55,10 @@ def final_judgment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.final_judgment(F.concat("text", tail)).alias("judgment"))
 
 
-@query("SELECT doc_id, sha256(trim(text || chr(10) || 'Winner: Response ' || CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END)) AS record, CASE WHEN doc_id % 2 = 0 THEN 'Response A' ELSE 'Response B' END AS label FROM documents WHERE NOT contains(lower(text), 'winner:')")
+@query("SELECT doc_id, sha256(trim(text || chr(10) || 'Winner: Response ' || CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END)) AS record, CASE WHEN doc_id % 2 = 0 THEN 'Response A' ELSE 'Response B' END AS label FROM documents WHERE len(regexp_extract_all(trim(text), '(?m)^Winner:[ \\t]*(Response [AB])[ \\t]*$')) = 0")
 def winner_extract(spark: SparkSession, d: str) -> DataFrame:
     side = F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B")
-    rows = table(spark, d, "documents").where(~F.lower("text").contains("winner:")).select("doc_id", T.strip(F.concat("text", F.lit("\nWinner: Response "), side)).alias("record"))
+    rows = table(spark, d, "documents").select("doc_id", T.strip(F.concat("text", F.lit("\nWinner: Response "), side)).alias("record"))
     found = F.regexp_extract_all("record", F.lit(r"(?m)(?d)^Winner:[ \t]*(Response [AB])[ \t]*$"), F.lit(1))
     return rows.where(F.size(found) == 1).select("doc_id", F.sha2(F.col("record").cast("binary"), 256).alias("record"), F.get(found, F.lit(0)).alias("label"))
 

@@ -8,11 +8,18 @@ never changed by reading them.
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .folders import remove
+from .line_numbers import numbered_lines
+
+
+def _state(line: str = "line") -> F.Column:
+    """ok, blank, malformed or not_object, of a line and its column json."""
+    return F.when(F.col(line).rlike(r"(?U)^\s*$"), "blank").when(F.col("json").isNull(), "malformed").when(~F.schema_of_variant("json").startswith("OBJECT"), "not_object").otherwise("ok")
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -21,22 +28,40 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     # by block start, then by order within the split that begins there
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
-    parsed = lines.withColumn("json", F.try_parse_json("line"))
-    state = F.when(F.col("line").rlike(r"(?U)^\s*$"), "blank").when(F.col("json").isNull(), "malformed").when(~F.schema_of_variant("json").startswith("OBJECT"), "not_object").otherwise("ok")
-    return parsed.select("file", "at", "line", state.alias("state"), F.from_json("line", schema).alias("row"))
+    return lines.withColumn("json", F.try_parse_json("line")).select("file", "at", "line", _state().alias("state"), F.from_json("line", schema).alias("row"))
+
+
+def line_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, number, line, state) of every line, numbered from 1."""
+    lines = numbered_lines(spark, path).withColumn("json", F.try_parse_json("line"))
+    return lines.select("file", "number", "line", _state().alias("state"))
 
 
-def _or_fail(bad: F.Column, what: str) -> F.Column:
-    fail = F.raise_error(F.concat(F.lit(f"{what} in "), F.col("file"), F.lit(": "), F.substring("line", 1, 200)))
-    return F.when(bad, fail.cast("boolean")).otherwise(True)
+def _or_fail(bad: F.Column, what: str, wanted: F.Column) -> F.Column:
+    """wanted, but an error where bad; one condition, as Spark may move parts of
+    a filter past each other."""
+    place = F.concat(F.col("file"), F.lit(", line "), F.col("number").cast("string"))
+    fail = F.raise_error(F.concat(F.lit(f"{what} in "), place, F.lit(": "), F.substring("line", 1, 200)))
+    return F.when(bad, fail.cast("boolean")).otherwise(wanted)
 
 
 def read_strict(spark: SparkSession, path: str | list[str], schema: str, skip_blank: bool = True) -> DataFrame:
-    """Any line that is no JSON object is an error; so is a blank one unless
-    those are skipped."""
-    lines = json_lines(spark, path, schema)
+    """Any line that is no JSON object is an error that names the file and the
+    line; so is a blank one unless those are skipped.  For the numbers the
+    lines are counted first."""
+    lines = line_states(spark, path)
     good = F.col("state").isin("ok", "blank") if skip_blank else F.col("state") == "ok"
-    return lines.where(_or_fail(~good, "Not a JSON object")).where("state = 'ok'").select("row.*")
+    return lines.where(_or_fail(~good, "Not a JSON object", F.col("state") == "ok")).select(F.from_json("line", schema).alias("row")).select("row.*")
+
+
+def read_counted(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, Observation]:
+    """The rows of lenient reading, and what it counts on the way: lines read,
+    skipped (malformed) and blank.  The counts are there once the rows have been
+    computed, in the same pass; where a task runs twice they count once."""
+    seen = Observation(f"lines of {uuid.uuid4().hex}")
+    counts = [F.count_if(F.col("state").isin("ok", "not_object")).alias("read"), F.count_if(F.col("state") == "malformed").alias("skipped"), F.count_if(F.col("state") == "blank").alias("blank")]
+    lines = json_lines(spark, path, schema).observe(seen, *counts)
+    return lines.where("state in ('ok', 'not_object')").select("row.*"), seen
 
 
 def read_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
