@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -20,8 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders made since each of the scratch blocks that are open began.
+_made: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, prefix: str) -> str:
-    return f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made within go at the end; what is read from them must have been
+    written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_made.pop())
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
