@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from judgeloom.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
-from judgeloom.sources.folders import new_folder, remove
+from judgeloom.sources.folders import new_folder, remove, scratch
+from judgeloom.sources.stages import Graph, Stage, identity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,24 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         before, written = written, new_folder(spark, "pipeline")
-        stage(spark, docs, sf_dir).write.parquet(written)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(written)
         docs = spark.read.parquet(written)
         if before:
             remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def graph(spark: SparkSession, sf_dir: str, folder: str) -> Graph:
+    """The stages over a folder that keeps their results: stages that are done
+    are skipped, and a run that was killed goes on where it stopped.  Other
+    tables, or a stage beyond them, need new results."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("documents", "labels", "benchmark")]
+
+    def made(stage):  # noqa: ANN001, ANN202
+        return lambda spark, docs: stage(spark, docs, sf_dir)
+
+    stages = [Stage("documents", lambda spark: spark.read.parquet(paths[0]), inputs=[x for p in paths for x in identity(spark, p)])]
+    for name, stage in STAGES:
+        stages.append(Stage(name.replace(" ", "-"), made(stage), [stages[-1].name]))
+    return Graph(spark, folder, stages)
