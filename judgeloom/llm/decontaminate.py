@@ -137,9 +137,11 @@ def _normal(text: bytes | None) -> bytes:
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text: str) -> tuple[DataFrame, int]:
-    """(item, text), and a number that their windows don't exceed."""
+    """(item, text) of the items that have words, and a number that neither they
+    nor their windows exceed."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    return items, items.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    return items.where(words > 0), items.agg(F.sum(words)).first()[0] or 0
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_grams: int = BROADCAST_GRAMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -205,8 +207,14 @@ def _exchanged(rows: DataFrame, items: DataFrame, n_grams: int, window: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array([row_ids[s + d] for d in w.doc[at].tolist()], pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array([n] * len(at), pa.int32()), pa.array(w.place[at]), pa.array(h.view(np.int64)), pa.array(found, pa.binary())], names=names)
 
     passed = P.checkpointed(rows.mapInArrow(passing, "row long, doc_id long, n_words long, n int, place long, hash long, gram binary"))
-    hits = passed.where("gram is not null").select("row", "n", "place", "hash", "gram").join(grams.drop("n"), ["hash", "gram"])
-    hits = hits.groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+    # Grams have numbers; items are looked up once for all rows that are hit by the
+    # same grams, so that a gram of many items and rows isn't multiplied out.
+    numbers_of = P.checkpointed(grams.select("hash", "gram").distinct().withColumn("number", F.monotonically_increasing_id()))
+    numbered = grams.join(numbers_of, ["hash", "gram"]).select("number", "item")
+    hits = passed.where("gram is not null").select("row", "n", "place", "hash", "gram").join(numbers_of, ["hash", "gram"])
+    hits = P.checkpointed(hits.groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("hits"), F.array_sort(F.collect_set("number")).alias("numbers")))
+    items_of = hits.select("numbers").distinct().select("numbers", F.explode("numbers").alias("number")).join(numbered, "number").groupBy("numbers").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = hits.join(items_of, "numbers").select("row", "hits", "items")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,7 +82,8 @@ def apportion(parties: DataFrame, group: list[str], votes: Column, seats: Column
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, most_repeats: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, shard, taken) for every row."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # the size too, so that rows of one id (or none) don't all have one digest
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
     rows = checkpointed(sized(docs, id_col, text_col, source_col).withColumn("digest", digest))
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_words))

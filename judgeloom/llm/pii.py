@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packs import checkpointed
+from .packs import checkpointed, looked_up
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
@@ -131,6 +131,17 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _terms(text: Column, words: Column) -> Column:
+    """The places of words that are among the given ones.  These are dealt into
+    as many buckets as their square root, so that neither side's number is
+    multiplied by the other's."""
+    n = lambda ws: F.greatest(F.ceil(F.sqrt(F.size(ws))), F.lit(1)).cast("int")
+    bucket = lambda w, k: F.pmod(F.xxhash64(w), k).cast("int")
+    dealt = lambda ws, k: F.transform(F.sequence(F.lit(0), k - 1), lambda b: F.filter(ws, lambda w: bucket(w, k) == b))
+    among = lambda bs, k: F.filter(_placed(text, F.lit(TERM)), lambda s: F.array_contains(F.get(bs, bucket(F.lower(s["match"]), k)), F.lower(s["match"])))
+    return _let(words, lambda ws: _let(n(ws), lambda k: _let(dealt(ws, k), lambda bs: among(bs, k))))
+
+
 def _bits(term: Column, n_bits: int) -> list[Column]:
     h = F.xxhash64(term)
     return [F.pmod(x, F.lit(n_bits)).cast("int") for x in (h, F.shiftright(h, 32))]
@@ -157,6 +168,34 @@ def _let_through(known: tuple[Column, int], words: Column) -> Column:
     return F.filter(words, lambda w: has(_bits(w, n_bits)[0]) & has(_bits(w, n_bits)[1]))
 
 
+def _pairs(having: DataFrame, min_docs: int) -> DataFrame:
+    """Checkpointed (word, c_both, c_entity) of having(row, text, entities): how
+    often words stand with entities, of which min_docs rows at least have both.
+
+    Entities of the same rows have the same counts, and so have words: classes
+    of them are paired, one of each, so that a text of very many of both isn't
+    multiplied out.  Classes are told by 128 bits of their rows and their number."""
+    rows = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"rows{k}") for k in (0, 1)]
+    same = ["n", "rows0", "rows1"]
+
+    def classed(of: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(name, class) of what min_docs rows have, and (row, class)."""
+        counted = of.groupBy(name).agg(F.count("*").alias("n"), *rows).where(F.col("n") >= min_docs)
+        first = counted.groupBy(*same).agg(F.min(name).alias("class"))
+        members = checkpointed(counted.join(first, same).select(name, "class", "n"))
+        one = members.where(F.col(name) == F.col("class")).select(F.col("class").alias(name))
+        return members, of.join(one, name).withColumnRenamed(name, "class")
+
+    entities, of_entity = classed(having.select("row", F.explode("entities").alias("entity")), "entity")
+    of_entity = checkpointed(of_entity)
+    texts = having.select("row", "text").join(of_entity.select("row").distinct(), "row", "left_semi")
+    words, of_word = classed(texts.select("row", F.explode(_words(F.col("text"))).alias("word")), "word")
+    both = of_word.withColumnRenamed("class", "w").join(of_entity.withColumnRenamed("class", "e"), "row")
+    met = both.groupBy("w", "e").agg(F.count("*").alias("c_both")).where(F.col("c_both") >= min_docs)
+    told = met.join(entities.select(F.col("entity").alias("e"), F.col("n").alias("c_entity")), "e").select(F.col("w").alias("class"), "c_both", "c_entity").distinct()
+    return checkpointed(words.select("word", "class").join(told, "class").drop("class"))
+
+
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, email, ip, card, phone, term, text): arrays of spans (start,
     end, match) in code points, end exclusive; text only where there are any."""
@@ -167,12 +206,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
     entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda s: s["match"]))
     having = checkpointed(based.where(any_span).select(F.monotonically_increasing_id().alias("row"), "text", entities.alias("entities")))
 
-    mentions = having.select("row", F.explode("entities").alias("entity"))
-    of_entity = checkpointed(mentions.groupBy("entity").agg(F.count("*").alias("c_entity")).where(F.col("c_entity") >= min_docs))
-    # entities of too few documents go before the words of theirs are paired
-    shared = mentions.join(of_entity, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
-    words = having.select("row", "text").join(shared, "row").select("entities", F.explode(_words(F.col("text"))).alias("word"))
-    pairs = checkpointed(words.select("word", F.explode("entities").alias("entity")).groupBy("word", "entity").agg(F.count("*").alias("c_both")).where(F.col("c_both") >= min_docs))
+    pairs = _pairs(having, min_docs)
     unmarked = based.withColumn("text", F.when(any_span, F.col("text"))).withColumn("term", none)
     if pairs.isEmpty():
         return unmarked
@@ -181,7 +215,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
     of_word = rows.select(F.explode(_let_through(_map_of(pairs), _words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c_word"))
     n = rows.count()
     npmi = F.log2(F.lit(float(n)) * F.col("c_both") / (F.col("c_word") * F.col("c_entity"))) / F.log2(F.lit(float(n)) / F.col("c_entity"))
-    telling = checkpointed(pairs.join(of_word, "word").join(of_entity, "entity").where((F.col("c_entity") < n) & (npmi >= threshold)).select("word").distinct())
+    telling = checkpointed(pairs.join(of_word, "word").where((F.col("c_entity") < n) & (npmi >= threshold)).select("word").distinct())
     if telling.isEmpty():
         return unmarked
 
@@ -189,10 +223,13 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, min_docs:
     passed = rows.select("text", _let_through(_map_of(telling), _words(F.col("text"))).alias("words")).where(F.size("words") > 0)
     passed = passed.select(key.alias("key"), F.explode("words").alias("word"))
     told = checkpointed(passed.join(telling, "word").groupBy("key").agg(F.collect_set("word").alias("words")))
+    keyed = based.withColumn("key", key)
     if told.count() <= BROADCAST_ROWS:
-        told = F.broadcast(told)
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("words", lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(r")(?!\p{L})"))
-    marked = based.withColumn("key", key).join(told, "key", "left").withColumn("term", F.when(F.col("words").isNotNull(), _placed(F.col("text"), pattern)).otherwise(none))
+        met = keyed.join(F.broadcast(told), "key", "left")
+    else:  # only rows that the map lets through can have terms; the others, empty ones say, meet nothing
+        can = F.size(_let_through(_map_of(telling), _words(F.col("text")))) > 0
+        met = looked_up(keyed.where(can), told, "key").unionByName(keyed.where(~can).withColumn("words", F.lit(None).cast("array<string>")))
+    marked = met.withColumn("term", F.when(F.col("words").isNotNull(), _terms(F.col("text"), F.col("words"))).otherwise(none))
     return marked.select("doc_id", F.when(any_span | F.col("words").isNotNull(), F.col("text")).alias("text"), *KINDS, "term")
 
 

@@ -33,11 +33,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table as one insert batch, committed twice."""
+    """Every row of the table arrives in one of four ways: loaded as it is;
+    loaded as a draft and revised; inserted later; loaded twice, and the second
+    one deleted.  The batch of changes is committed twice, before and after the
+    rollup is compacted, and the load once more at the end; what is live is the
+    table."""
+    docs = _table(spark, sf_dir, "documents").withColumn("_way", F.pmod(F.xxhash64("doc_id", "text"), F.lit(10)))
+    late, revised, twice = (docs.where(F.col("_way") == k) for k in (3, 5, 7))
+    drafts = revised.withColumn("text", F.concat("text", F.lit(" A draft.")))
     rollup = token_counts.Rollup(spark, new_folder(spark, "token-rollup"))
-    batch = checkpointed(token_counts.delta(inserted=_table(spark, sf_dir, "documents"), ranks=RANKS, version=VERSION))
-    for _ in range(2):
-        rollup.commit("load", batch)
+    load = checkpointed(token_counts.delta(inserted=docs.where("_way not in (3, 5)").unionByName(drafts).unionByName(twice), ranks=RANKS, version=VERSION))
+    changes = checkpointed(token_counts.delta(inserted=late, deleted=twice, revised=(drafts, revised), ranks=RANKS, version=VERSION))
+    rollup.commit("load", load)
+    rollup.commit("changes", changes)
+    rollup.commit("changes", changes)
+    rollup.compact()
+    rollup.commit("changes", changes)
+    rollup.commit("load", load)
     totals = checkpointed(rollup.totals())  # a row for each source, language and version
     rollup.drop()
     return totals
@@ -152,7 +164,7 @@ def mix_sql(table: str = "documents") -> str:
     """All quotients are enumerated here, and the shares found by repeated
     capping."""
     return rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM {table}),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS digest FROM {table}),
 n AS (SELECT greatest(1, CAST(ceil(coalesce(sum(size), 0) / {mixing.SHARD_WORDS}.0) AS BIGINT)) AS shards FROM d),
 s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS ss, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
 total AS (SELECT 150 * sum(ss) AS wanted FROM s),

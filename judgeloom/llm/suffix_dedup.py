@@ -1,11 +1,12 @@
-"""Repeated substrings by a radix sort of suffixes, cut off at a threshold.
+"""Repeated substrings by landmarks and fingerprints of prefixes.
 
-Suffixes are ordered by most-significant-digit passes, only through their first
-``length`` bytes; a suffix that has its prefix to itself after a pass leaves the
-sort, and what is equal after the last pass are exactly the repeated windows.
+This isn't the radix sort of suffixes by most-significant digits: that sends 77
+times the input (README), so no suffix is sorted here.  What is kept of it are
+its passes: windows of ``length`` bytes are told apart by longer and longer
+prefixes, what has its prefix to itself leaves after each pass, and what is equal
+after the last are exactly the repeated windows.
 
-Three passes are made, over digits of uneven width.  A pass doesn't hold single
-suffixes but runs of adjacent ones: a window of ``length`` bytes has a
+A pass doesn't hold single windows but runs of adjacent ones.  A window has a
 landmark, the position in its first ANCHOR_SPAN whose next SAMPLE bytes hash
 lowest, so equal windows have equal landmarks at equal distance.  A run is the
 windows of one landmark within a block of distances.  Its *core* is the prefix
@@ -14,8 +15,8 @@ Its *whole* is all bytes its windows touch; runs with equal wholes are repeated
 entirely, and one of them goes on for all if others with this core do.  What is
 left is cut into smaller blocks for the next pass: blocks of 80 distances, then
 8, then 1, where core, whole and window are the same.  So the number of keys
-follows the number of ends of repeated passages, not their length.  Digits are
-told by 64-bit fingerprints of core and whole together.
+follows the number of ends of repeated passages, not their length.  Core and
+whole are told by 64-bit fingerprints of both together.
 
 Texts count as their UTF-8 bytes.  Results for odd inputs: a null or empty text
 has no bytes and a row with zeros; a null id stays null; repeated rows count as
