@@ -22,7 +22,7 @@ def store_slice(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("record_index"), "lang", "n_chars")
     for _ in range(2):
         told = shard_store.write_store(rows, path, size=100, settings={"use": "slices"})
-    return shard_store.read_store(spark, path, low=120, high=334).unionByName(shard_store.read_store(spark, path, low=told["num_records"] - 10))
+    return shard_store.read_store(spark, path, low=120, high=334).unionByName(shard_store.read_store(spark, path, low=max(334, told["num_records"] - 10)))
 
 
 _SHARDS = "SELECT o_orderpriority AS store, o_orderkey // 500 AS k, CASE WHEN o_orderkey // 500 % 7 = 3 THEN 20 ELSE 0 END AS early, o_orderkey // 500 % 11 = 5 AS gone FROM orders GROUP BY ALL"
