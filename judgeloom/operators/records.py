@@ -18,6 +18,48 @@ def missing_columns(rows: DataFrame, needed: tuple[str, ...]) -> list[str]:
     return sorted(set(needed) - set(rows.columns))
 
 
+def absent(record: Column, needed: tuple[str, ...]) -> Column:
+    """The names, in order, that a record in JSON doesn't have; all of them if it
+    is null or no object."""
+    names = F.array(*[F.lit(n) for n in sorted(needed)])
+    return F.array_except(names, F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")))
+
+
+def without(entries: Column, *names: str) -> Column:
+    """A map without some names, which it may not have."""
+    return F.map_filter(entries, lambda k, _: ~k.isin(*names))
+
+
+def _once(rows: DataFrame, key: str, row: str, n: str) -> DataFrame:
+    """(key, row, n): one row of each key and how many there are, counted before
+    the shuffle."""
+    return rows.groupBy(F.col(key).alias(key)).agg(F.any_value(F.struct(*[F.col(c) for c in rows.columns if c != key], F.lit(1).alias("_there"))).alias(row), F.count("*").alias(n))
+
+
+def _matched(results: DataFrame, data: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    both = _once(results, key, "_result", "_n").join(_once(data, key, "_data", "_places"), key, "left")
+    return both, F.when(F.col("_places").isNull(), "out of range").when(F.col("_places") > 1, "twice in the data").when(F.col("_n") > 1, "twice")
+
+
+def index_faults(results: DataFrame, data: DataFrame, key: str) -> DataFrame:
+    """(key, fault, n): indexes of results that the data doesn't have (null is
+    one), has twice, or that come twice themselves."""
+    both, fault = _matched(results, data, key)
+    return both.select(key, fault.alias("fault"), F.col("_n").alias("n")).where("fault is not null")
+
+
+def joined_by_index(results: DataFrame, data: DataFrame, key: str) -> DataFrame:
+    """Results with the columns of the row that they were made from, by its index.
+
+    Unlike an inner join, an index that has a fault stops the job and is named."""
+    both, fault = _matched(results, data, key)
+    stop = F.raise_error(F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(": "), fault))
+    # a filter, since columns that nobody reads aren't worked out
+    kept = both.where(F.when(fault.isNotNull(), stop.cast("boolean")).otherwise(True))
+    mine = [c for c in results.columns if c != key]
+    return kept.select(key, *[F.col(f"_result.`{c}`").alias(c) for c in mine], *[F.col(f"_data.`{c}`").alias(c) for c in data.columns if c != key and c not in mine])
+
+
 def reason(rows: DataFrame) -> Column:
     """Why a row is skipped: the first required field without text, or a winner
     that isn't one of two; null if it isn't."""

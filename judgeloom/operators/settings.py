@@ -8,6 +8,10 @@ import math
 import os
 from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions import text as T
 from .evidence import Rules
 from .refine import Weights
 
@@ -19,6 +23,11 @@ def normalise_use(value: str) -> str:
     return "semantic"
 
 
+def use(value: Column) -> Column:
+    """The same of a column; what isn't known is null."""
+    return F.when(F.lower(T.strip(value)) == "semantic", "semantic")
+
+
 @dataclass(frozen=True)
 class Evaluation:
     # The published defaults.
@@ -42,6 +51,23 @@ class Evaluation:
         return sorted(set(out))
 
 
+def row_faults(**given: Column) -> Column:
+    """The same of settings in columns: names in order.  What isn't given has its
+    default; a null is no fault."""
+    value = {f.name: given.get(f.name, F.lit(f.default)) for f in fields(Evaluation)}
+    wrong = {name: c < 0 if name == "noise_scale" else c <= 0 for name, c in value.items()}
+    no = lambda c: F.coalesce(c, F.lit(False))
+    wrong["max_total_length"] = no(wrong["max_total_length"]) | no(value["max_latent_tokens"] + value["max_answer_tokens"] >= value["max_total_length"])
+    return F.array_compact(F.array(*[F.when(wrong[name], name) for name in sorted(wrong)]))
+
+
+def row_entries(**given: Column) -> dict[str, Column]:
+    """Settings by name as JSON values, for a digest of each row's; a null is
+    ``null``, what isn't given has its default."""
+    as_json = lambda c: F.coalesce(F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$.v"), F.lit("null"))
+    return {f.name: as_json(given[f.name]) if f.name in given else F.lit(json.dumps(f.default)) for f in fields(Evaluation)}
+
+
 def signature(settings: dict) -> str:
     """A digest of settings, by their names in order."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()

@@ -19,11 +19,15 @@ from ..sources.tables import RESULTS_SQL, results, table
 from .registry import query
 
 
-@query("SELECT * FROM (VALUES ('doc_id', true), ('lang', true), ('rubric', false), ('text', true), ('winner', false)) t(name, present)")
+@query("""
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'lang' END, 'rubric', CASE WHEN text IS NULL OR length(text) % 2 = 1 THEN 'text' END, CASE WHEN doc_id % 5 < 2 THEN 'winner' END], lambda x: x IS NOT NULL), ',') AS missing FROM documents
+""")
 def required_columns(spark: SparkSession, d: str) -> DataFrame:
-    needed = ("doc_id", "lang", "rubric", "text", "winner")
-    missing = records.missing_columns(table(spark, d, "documents"), needed)
-    return spark.createDataFrame([(c, c not in missing) for c in needed], "name string, present boolean")
+    """The fields that documents, as JSON records of many shapes, don't have."""
+    k = F.col("doc_id")
+    fields = (k, F.when(k % 7 != 0, F.col("lang")).alias("lang"), F.when(F.length("text") % 2 == 0, F.col("text")).alias("text"), F.when(k % 5 >= 2, "A").alias("winner"))
+    record = F.to_json(F.struct(*fields))  # leaves out what is null
+    return table(spark, d, "documents").select("doc_id", F.array_join(records.absent(record, ("doc_id", "lang", "rubric", "text", "winner")), ",").alias("missing"))
 
 
 _WINNER = "CASE doc_id % 6 WHEN 0 THEN 'Model-A' WHEN 1 THEN ' response b ' WHEN 2 THEN 'x: a' WHEN 3 THEN 'tie' WHEN 4 THEN 'B' ELSE 'Assistant_A' END"
@@ -113,25 +117,33 @@ def constraint_pairs(spark: SparkSession, d: str) -> DataFrame:
     return B.constraint_pairs(rows).select("dataset_index", "source_id", "difficulty", "unsatisfied_constraint_count", "rubric")
 
 
-@query("SELECT item_id FROM benchmark")
+@query("SELECT doc_id, 'lang=' || lang || CASE WHEN doc_id % 2 = 0 THEN ',source=' || source ELSE '' END AS entries FROM documents")
 def without_rubric(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.lit("r").alias("rubric")).drop("rubric")
-
+    """Records of several shapes without their rubric, which some don't have."""
+    pairs = lambda *names: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col("text" if n == "rubric" else n) for n in names]))
+    k = F.col("doc_id") % 4
+    entries = F.when(k == 0, pairs("lang", "rubric", "source")).when(k == 1, pairs("rubric", "lang")).when(k == 2, pairs("lang", "source")).otherwise(pairs("lang"))
+    kept = F.transform(F.array_sort(F.map_entries(records.without(entries, "rubric"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table(spark, d, "documents").select("doc_id", F.array_join(kept, ",").alias("entries"))
 
-_SETTINGS = [("plain", {}), ("votes", {"vote": 0}), ("samples", {"max_samples": -1}), ("noise", {"noise_scale": -0.5, "gumbel_temperature": 0.0}), ("short", {"max_total_length": 200}), ("silent", {"noise_scale": 0.0})]
 
-
-@query("SELECT * FROM (VALUES ('plain', ''), ('votes', 'vote'), ('samples', 'max_samples'), ('noise', 'gumbel_temperature,noise_scale'), ('short', 'max_total_length'), ('silent', '')) t(name, faults)")
+@query("""
+SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal / 1000 <= 0 THEN 'gumbel_temperature' END, CASE WHEN c_nationkey <> 7 AND c_nationkey - 5 <= 0 THEN 'max_samples' END, CASE WHEN 100 + c_custkey % 400 <= 264 THEN 'max_total_length' END, CASE WHEN c_acctbal < 0 THEN 'noise_scale' END, CASE WHEN c_custkey % 4 - 1 <= 0 THEN 'vote' END], lambda x: x IS NOT NULL), ',') AS faults FROM customer
+""")
 def argument_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Settings that can't be, by name."""
-    return spark.createDataFrame([(name, ",".join(settings.Evaluation(**changes).faults())) for name, changes in _SETTINGS], "name string, faults string")
+    """Customers as settings of runs, with those that can't be."""
+    k, nation, balance = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")
+    faults = settings.row_faults(vote=k % 4 - 1, max_samples=F.when(nation != 7, nation - 5), gumbel_temperature=balance / 1000, noise_scale=balance, max_total_length=100 + k % 400)
+    return table(spark, d, "customer").select("c_custkey", F.array_join(faults, ",").alias("faults"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'semantic' END AS use FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'semantic' END AS use, CASE WHEN doc_id % 3 = 2 THEN 'Unknown use: ' || lang || ' ' || source END AS fault FROM documents")
 def normalized_use(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.element_at(F.array(F.lit(" Semantic\n"), F.lit("SEMANTIC"), F.lit("fixed")), (F.col("doc_id") % 3 + 1).cast("int"))
-    value = F.lower(T.strip(raw))
-    return table(spark, d, "documents").select("doc_id", F.when(value == settings.normalise_use(" Semantic "), value).alias("use"))
+    """The use that each document names, however it is written, or why it has none."""
+    k = F.col("doc_id") % 3
+    raw = F.when(k == 0, F.lit(" Semantic\n")).when(k == 1, F.lit("SEMANTIC")).otherwise(F.concat("lang", F.lit(" "), "source"))
+    use = settings.use(raw)
+    return table(spark, d, "documents").select("doc_id", use.alias("use"), F.when(use.isNull(), F.concat(F.lit("Unknown use: "), raw)).alias("fault"))
 
 
 @query("""
@@ -177,12 +189,38 @@ def token_at(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DEFAULTS = ", ".join(f"('{b}', '{s}', {k})" for b, names in registry.DEFAULT_SUBSETS.items() for k, s in enumerate(names))
+_SUBSETS = [s for names in registry.DEFAULT_SUBSETS.values() for s in names] + ["other"]
+_numbered = lambda names: ", ".join(f"({k}, '{n}')" for k, n in enumerate(names))
 
 
-@query(f"SELECT benchmark, subset, CAST(place AS INT) AS place FROM (VALUES {_DEFAULTS}) t(benchmark, subset, place) UNION ALL SELECT benchmark, NULL, NULL FROM (VALUES ('ppe-ifeval'), ('ifbench'), ('helpsteer3')) t(benchmark)")
+@query(f"""
+WITH d AS (SELECT * FROM (VALUES {_DEFAULTS}) t(benchmark, subset, place) UNION ALL SELECT benchmark, NULL, NULL FROM (VALUES ('ppe-ifeval'), ('ifbench'), ('helpsteer3')) t(benchmark)),
+r AS (SELECT b.name AS benchmark, s.name AS subset FROM lineitem JOIN (VALUES {_numbered(registry.BENCHMARKS)}) b(k, name) ON b.k = l_suppkey % {len(registry.BENCHMARKS)} JOIN (VALUES {_numbered(_SUBSETS)}) s(k, name) ON s.k = l_partkey % {len(_SUBSETS)})
+SELECT d.benchmark, d.subset, CAST(place AS INT) AS place, count(r.benchmark) AS n FROM d LEFT JOIN r ON r.benchmark = d.benchmark AND (d.subset IS NULL OR r.subset = d.subset) GROUP BY ALL
+""")
 def benchmark_registry(spark: SparkSession, d: str) -> DataFrame:
-    """The benchmarks and the subsets that count unless others are asked for."""
-    return registry.defaults(spark)
+    """The benchmarks and the subsets that count unless others are asked for,
+    with the line items that are theirs."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(pick(registry.BENCHMARKS, F.col("l_suppkey")).alias("benchmark"), pick(_SUBSETS, F.col("l_partkey")).alias("subset"))
+    return registry.counted(rows)
+
+
+@query("""
+SELECT l_orderkey AS source_index, CASE WHEN o_orderkey IS NULL THEN 'out of range' ELSE 'twice' END AS fault, count(*) AS n FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_orderkey HAVING o_orderkey IS NULL OR count(*) > 1
+""")
+def index_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as results of the orders that aren't pending: those of none,
+    and orders with several."""
+    data = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("source_index"))
+    return records.index_faults(results(spark, d), data, "source_index")
+
+
+@query("SELECT doc_id, quality, toxic, lang, source FROM labels JOIN documents USING (doc_id)")
+def indexed_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with the source and language of their documents; one without a
+    document would be an error."""
+    return records.joined_by_index(table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
 
 
 @query(f"""

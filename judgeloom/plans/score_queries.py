@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,10 +139,15 @@ def run_signature(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", M.signature(names).alias("signature"))
 
 
-@query(f"SELECT * FROM (VALUES ('plain', '{settings.signature(settings.as_dict(settings.Evaluation()))}'), ('votes', '{settings.signature(settings.as_dict(settings.Evaluation(vote=5)))}')) t(name, signature)")
+_PLAIN = json.dumps(settings.as_dict(settings.Evaluation(vote=-1, max_samples=-2)), sort_keys=True).replace("-1", "' || c_custkey || '").replace("-2", "' || CASE WHEN c_nationkey = 7 THEN 'null' ELSE CAST(c_nationkey AS VARCHAR) END || '")
+
+
+@query(f"SELECT c_custkey, sha256('{_PLAIN}') AS signature FROM customer")
 def settings_signature(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("plain", settings.Evaluation()), ("votes", settings.Evaluation(vote=5))]
-    return spark.createDataFrame([(n, settings.signature(settings.as_dict(e))) for n, e in rows], "name string, signature string")
+    """A digest of all settings of a run, a run a customer."""
+    nation = F.col("c_nationkey")
+    entries = settings.row_entries(vote=F.col("c_custkey"), max_samples=F.when(nation != 7, nation))
+    return table(spark, d, "customer").select("c_custkey", M.signature(entries).alias("signature"))
 
 
 @query("SELECT p_brand AS module, CAST(sum(p_size) AS BIGINT) AS parameters, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS trainable, bool_and(p_size > 0) AS all_ready, bool_or(p_size > 45) AS any_ready FROM part GROUP BY p_brand")

@@ -58,3 +58,13 @@ def defaults(spark: SparkSession) -> DataFrame:
     row without a subset."""
     rows = [(b, s, k) for b in BENCHMARKS for k, s in (list(enumerate(DEFAULT_SUBSETS[b])) if b in DEFAULT_SUBSETS else [(None, None)])]
     return spark.createDataFrame(rows, "benchmark string, subset string, place int")
+
+
+def counted(rows: DataFrame, benchmark: str = "benchmark", subset: str = "subset") -> DataFrame:
+    """(benchmark, subset, place, n): rows of each subset that counts; where all
+    do, the benchmark's."""
+    listed = F.col(benchmark).isin(*DEFAULT_SUBSETS)
+    found = rows.groupBy(F.col(benchmark).alias("_b"), F.when(listed, F.col(subset)).alias("_s")).agg(F.count("*").alias("n"))
+    names = defaults(rows.sparkSession)
+    both = names.join(found, (F.col("benchmark") == F.col("_b")) & F.col("subset").eqNullSafe(F.col("_s")), "left")
+    return both.select("benchmark", "subset", "place", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
