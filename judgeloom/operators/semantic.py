@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,22 @@ _PIECES = re.compile(r"\s?\w+|\s?[^\w\s]|\s+")
 _TOGETHER = 1_000_000
 
 
-@lru_cache(maxsize=1 << 16)
-def _checksum(piece: str) -> int:
-    return zlib.crc32(piece.encode("utf-8", "surrogatepass"))
+class _Checksums(dict):
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[piece] = out = zlib.crc32(piece.encode("utf-8", "surrogatepass"))
+        return out
+
+
+_CHECKSUMS = _Checksums()
 
 
 def piece_arrays(text: str) -> tuple[np.ndarray, np.ndarray]:
     """``pieces`` as arrays; they cover the whole text."""
     found = _PIECES.findall(text)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-    return np.fromiter(map(_checksum, found), np.int64, len(found)), np.stack([np.concatenate([[0], ends[:-1]])[: len(found)], ends], axis=1)
+    return np.fromiter(map(_CHECKSUMS.__getitem__, found), np.int64, len(found)), np.stack([np.concatenate([[0], ends[:-1]])[: len(found)], ends], axis=1)
 
 
 def pieces(text: str) -> tuple[list[int], list[tuple[int, int]]]:
